@@ -34,3 +34,36 @@ def decontaminate(docs, items, n=13):
                     found |= windows[x]
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def secrets_base(text):
+    """[(start, kind index, end)] of the base kinds."""
+    text, out = text or "", []
+    for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def secrets_entropy(text, window, candidate, classes, allowed):
+    """[(start, 3, end)]: every window's entropy counted anew."""
+    from collections import Counter
+    from math import log2
+
+    out = []
+    for m in re.finditer(candidate, text or ""):
+        x = m[0]
+        if re.search(allowed, x):
+            continue
+        small = re.search(classes[0][0], x)
+        least, y = (classes[0][2], x.lower()) if small else (classes[1][2], x)
+        best = max(-sum(n / window * log2(n / window) for n in Counter(y[i : i + window]).values()) for i in range(len(y) - window + 1))
+        if best >= least - 1e-9:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def spell_secrets(spans):
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{i}:{j}" for i, k, j in sorted(spans))
