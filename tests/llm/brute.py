@@ -67,3 +67,12 @@ def secrets_entropy(text, window, candidate, classes, allowed):
 
 def spell_secrets(spans):
     return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{i}:{j}" for i, k, j in sorted(spans))
+
+
+def chat(rows):
+    """rows: (conv_id, turn, role, text). {conv_id: (n_turns, turns_sha256, loss_chars, loss_sha256)}."""
+    convs: dict = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        convs.setdefault(c, []).append((r or "", x or ""))
+    loss = {c: "".join(x for r, x in v if r == "assistant") for c, v in convs.items()}
+    return {c: (len(v), sha("".join(f"{r}\n{x}\n" for r, x in v)), len(loss[c]), sha(loss[c])) for c, v in convs.items()}
