@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, quality, secrets
+from . import chat, decontaminate, pieces, quality, secrets
 from .common import table
 
 
@@ -15,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")), keep=["doc_id"])
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.scan(docs, bench, keep=["doc_id"]), ["doc_id"])
@@ -33,6 +39,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_pieces": op2_pieces,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
     "op7_secrets": op7_secrets,
