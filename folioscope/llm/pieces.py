@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import steps
 
 LONG = 128
-#: Units a worker keeps before it starts anew.
+#: Units a worker keeps in each of two generations, so that frequent units outlive the rare.
 KEPT = 200_000
 SPACE = "▁"
 _NONE = np.int64(1) << 60
@@ -65,6 +65,7 @@ class Pieces:
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()] + [0], np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()] + [0], np.int64)
         self.known: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.decimal = [str(i) for i in range(size)]
 
     def _symbol(self, text: str) -> int | None:
@@ -178,9 +179,13 @@ class Pieces:
         """Each text's ids, with the end id."""
         cut = [self.units(t) for t in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
-        if new := list(set(chain.from_iterable(cut)).difference(self.known)):
-            self.learn(new)
+            self.known, self.old = {}, self.known
+        new = set().union(*cut).difference(self.known)
+        for unit in [u for u in new if u in self.old]:
+            self.known[unit] = self.old[unit]
+            new.discard(unit)
+        if new:
+            self.learn(list(new))
         for units in cut:
             yield [*chain.from_iterable(map(self.known.__getitem__, units)), self.end]
 

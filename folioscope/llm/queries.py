@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pieces, quality, secrets
-from .common import table
+from . import chat, decontaminate, pieces, quality, secrets, tokenfiles
+from .common import table, work_path
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,19 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_path(spark, "tokenfiles")
+    tokenfiles.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read(spark, out, arrays=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pieces": op2_pieces,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
     "op7_secrets": op7_secrets,
+    "op9_tokenfiles": op9_tokenfiles,
 }
 
 ORACLE_SQL: dict[str, str] = {}
