@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pieces, quality, secrets, tokenfiles
+from . import chat, decontaminate, neighbours, pieces, quality, secrets, tokenfiles
 from .common import table, work_path
 
 
@@ -37,6 +37,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(neighbours.index(rows), rows.where("vec_id % 20 = 0"))
+
+
 def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "tokenfiles")
     tokenfiles.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
     "op7_secrets": op7_secrets,
+    "op8_neighbours": op8_neighbours,
     "op9_tokenfiles": op9_tokenfiles,
 }
 
