@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neighbours, pieces, quality, secrets, tokenfiles
+from . import chat, decontaminate, jaccard, neighbours, pieces, quality, secrets, tokenfiles
 from .common import table, work_path
 
 
@@ -33,6 +33,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
+    "op5_jaccard": op5_jaccard,
     "op7_secrets": op7_secrets,
     "op8_neighbours": op8_neighbours,
     "op9_tokenfiles": op9_tokenfiles,

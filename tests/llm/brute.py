@@ -76,3 +76,26 @@ def chat(rows):
         convs.setdefault(c, []).append((r or "", x or ""))
     loss = {c: "".join(x for r, x in v if r == "assistant") for c, v in convs.items()}
     return {c: (len(v), sha("".join(f"{r}\n{x}\n" for r, x in v)), len(loss[c]), sha(loss[c])) for c, v in convs.items()}
+
+
+def jaccard(docs, n, percent):
+    """[(doc_id, size, component)]: all pairs compared."""
+    sets = []
+    for doc, text in docs:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lower_ascii(text or "")) if x]
+        sets.append((doc, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()))
+    root = {d: d for d, _ in sets if d is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if None not in (a, b) and x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    p, q = find(a), find(b)
+                    root[max(p, q)] = min(p, q)
+    return [(d, len(x), None if d is None else find(d)) for d, x in sets]
