@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, neighbours, pieces, quality, secrets, tokenfiles
+from . import chat, decontaminate, jaccard, neighbours, pieces, quality, secrets, suffixes, tokenfiles
 from .common import table, work_path
 
 
@@ -52,6 +52,10 @@ def op9_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, out, arrays=False)
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pieces": op2_pieces,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_neighbours": op8_neighbours,
     "op9_tokenfiles": op9_tokenfiles,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -99,3 +99,23 @@ def jaccard(docs, n, percent):
                     p, q = find(a), find(b)
                     root[max(p, q)] = min(p, q)
     return [(d, len(x), None if d is None else find(d)) for d, x in sets]
+
+
+def repeats(docs, length=50):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept_sha256)]."""
+    first: dict[bytes, int] = {}
+    data = [(d, (t or "").encode()) for d, t in docs]
+    for d, b in data:
+        for i in range(len(b) - length + 1) if d is not None else ():
+            s = b[i : i + length]
+            first[s] = min(first.get(s, d), d)
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1) if d is not None else ():
+            if first[b[i : i + length]] < d:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        runs = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.append((d, len(b), sum(gone), runs, sha(kept)))
+    return out
