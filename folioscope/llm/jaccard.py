@@ -248,3 +248,20 @@ def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int
     roots = components(links.union(copies.select("doc_id", "least"))).withColumnRenamed("node", "doc_id")
     out = described.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, one row of each group of documents that links connect: that of the smallest doc_id.
+
+    Rows with equal ids are one document, of which the row with the smallest text stays. Rows with null ids all stay.
+    """
+    stay = join(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    text = options.get("text", "text")
+    stay = cut(stay, "jaccard-first")
+    kept = docs.join(stay.where("_copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if stay.where("_copies > 1").isEmpty():
+        return kept
+    again = docs.join(stay.where("_copies > 1").select("doc_id"), "doc_id", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", text)]
+    least = again.groupBy("doc_id").agg(F.min(F.struct(text, *others)).alias("_row")).select("doc_id", "_row.*")
+    return kept.unionByName(least.select(docs.columns))
