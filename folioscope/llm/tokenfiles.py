@@ -2,7 +2,7 @@
 
 Documents are dealt over range partitions in ascending doc_id order and encoded with the tokenizers library. White space
 ends every token of these vocabularies' pre-tokenizers, so distinct words are encoded once and kept, up to a bounded
-number. A shard holds the ids of consecutive documents as bit-planes from the highest bit down, each plane's sequence
+number; lower-casing, which their normaliser does anyway, and parting the marks at a word's end make fewer of them. A shard holds the ids of consecutive documents as bit-planes from the highest bit down, each plane's sequence
 stably parted by the bit above; planes carry counts of ones by block, so that a token's value, its count in a range and
 its k-th place can be read from the shard without unfolding it. Shards are rows of a Parquet table that Spark commits:
 a lost executor's part is written again by another.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ MAGIC = b"WMX1"
 #: Tokens from which a shard is closed, and bits that one rank count covers.
 SHARD, BLOCK = 1 << 20, 512
 #: Words a worker keeps in each of two generations.
-KEPT = 250_000
+KEPT = 400_000
 
 
 class Shard:
@@ -137,6 +138,24 @@ class Shard:
         return cls(*out[:3], n, *out[3:])
 
 
+#: Marks that are neither letters, digits, white space nor part of a special token.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+#: Byte-level spelling: a byte that Latin-1 doesn't print stands as the next free character from U+0100.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = {b: 256 + k for k, b in enumerate(_UNSEEN)}
+
+
+def _plain(text: str) -> str:
+    """Lower case, as the vocabulary's normaliser makes it, where both surely agree; otherwise the text itself."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class Words:
     """Ids of white-space words, as bytes; two generations, so that frequent words outlive the rare."""
 
@@ -154,16 +173,26 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known
-        new = set().union(*cut).difference(self.known)
-        for word in [w for w in new if w in self.old]:
-            self.known[word] = self.old[word]
-            new.discard(word)
-        fresh = list(new)
+        known, old, merge, code, rest = self.known, self.old, self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I", []
+        new = set().union(*cut).difference(known)
+        for word in new:
+            if (ids := old.get(word)) is not None:
+                known[word] = ids
+            elif word.isalpha() and word.islower() and max(word) <= "ÿ":  # one pre-token, in normal form
+                known[word] = array(code, [t.id for t in merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                rest.append(word)
+        # No token of the vocabulary holds a letter and what isn't one behind it, so a word's end can be encoded by itself.
+        ended = [(w, core, w[len(core) :]) for w in rest if (core := w.rstrip(_MARKS)) and core != w and core[-1].isalpha()]
+        whole = set(rest).difference(e[0] for e in ended).union(*(e[1:] for e in ended)).difference(known)
+        fresh = [w for w in whole if w not in old]
+        known.update((w, old[w]) for w in whole.difference(fresh))
         for word, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, self.kind).tobytes()
+            known[word] = array(code, found.ids).tobytes()
+        known.update((w, known[core] + known[mark]) for w, core, mark in ended)
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
