@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import metadata, search, star, streams, texts, vectors  # noqa: F401  each registers its queries
+from .base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "region_nations"
-
-
-def region_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"region_nations": region_nations}
-ORACLE_SQL: dict[str, str] = {"region_nations": "SELECT * FROM nation"}
+FLAGSHIP = "rank_topk"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
