@@ -1,18 +1,21 @@
 """Jaccard join over word n-grams with adaptive multi-match prefixes, and the classes its links form.
 
 A document's set is that of its distinct ``n``-word shingles, as 64-bit hashes; two documents link when
-``100 * |intersection| >= percent * |union|``. All sets are ordered by one global order: rare shingles first, by a fixed
-sketch of document frequencies over the whole corpus. A set of size s shares at least ``o = ceil(percent * s / 100)``
+``100 * |intersection| >= percent * |union|``. All sets are ordered by one global order: by the number of documents that
+have a shingle, in eighths of a power of two, then by hash. A set of size s shares at least ``o = ceil(percent * s / 100)``
 elements with each partner, so for any l two linked documents share at least l elements within their first
 ``s - o + l``. l is chosen by document: the one with the least estimated cost of scanning its prefix's lists and of
 verifying the candidates that share l elements.
 
-1. The sketch is summed over partitions. 2. Each document gives its size, its set's digest and its prefix for l = 1;
-documents with equal sets become one class. 3. Classes that share a prefix element are tied to the element's smallest
-class, and the ties' components are the candidate groups: linked documents are always in one group. 4. Each group is
-joined with its own texts again; a large group in blocks, each pair of blocks being one unit. A unit counts matches
-over the adaptive prefixes, verifies candidates that aren't connected yet on their whole sets, and gives a spanning
-forest of its links. 5. The components of the forests and of the copies' ties to their class are the result. No pair within a group is emitted but forest edges.
+1. Texts are packed into chunks. Each chunk sends its distinct shingles, cut to as many bits as the corpus needs, to their
+buckets, which answer with those that two documents or more have, and how many; the others match nothing and come
+first in the order. 2. Each document gives its size, its set's digest, its shared shingles in order, and those within
+its prefix for l = 1; documents with equal sets become one class. 3. Classes that share a prefix element are tied to the
+element's smallest class, and the ties' components are the candidate groups: linked documents are always in one group.
+Only a document most of whose shingles are shared has shared ones in its prefix. 4. A group is a unit; a large one is cut
+into blocks, each pair of blocks being one. A unit counts matches over the adaptive prefixes, verifies candidates that
+aren't connected yet on their whole sets, and gives a spanning forest of its links. 5. The components of the forests and
+of the copies' ties to their class are the result. No pair within a group is emitted but forest edges.
 
 Defined results: a null or empty text and one of white space alone has size 0, links with nothing and is its own
 component; a null id has a null component; rows with equal ids are one document, each text of which may link; extra
@@ -21,8 +24,8 @@ columns take no part; an empty table has no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from math import ceil, log2
 from functools import lru_cache
 
 import numpy as np
@@ -30,17 +33,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .chunks import Chunk, bucket_of, deltas, pack, rows_of, spread, squeeze
 from .common import cut, steps, texts
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Buckets of the frequency sketch (one byte each when broadcast), and pieces in which it is summed.
-BUCKETS, _PARTS = 1 << 20, 32
+#: Bits of a hash beyond those that number the corpus's shingles: a shingle is taken for shared by mistake once in 2**13.
+SPARE = 13
 #: A unit's blocks: most classes and shingles of one, before a group is cut into more.
 BLOCK, BLOCK_SHINGLES = 768, 400_000
 #: Cost of one verification in list entries scanned.
 VERIFY = 48.0
 
+_U = np.uint64
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,76 +81,80 @@ def shingles(values: list[bytes], n: int) -> Iterator[np.ndarray]:
         yield np.unique(out)
 
 
-def _slots(sets: np.ndarray) -> np.ndarray:
-    return (sets >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+def needed(size: int, percent: int) -> int:
+    """The least overlap of a set of ``size`` with any it links to."""
+    return -(-percent * size // 100)
 
 
-def _count(text: str, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for batch in steps(batches, text):
-            found = [s for s in shingles(texts(batch.column(text)), n) if len(s)]
-            if found:
-                total += np.bincount(_slots(np.concatenate(found)), minlength=BUCKETS).astype(np.uint32)
-        if total.any():
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.array_split(total, _PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+def _sets(chunk: Chunk, n: int) -> list[np.ndarray]:
+    return list(shingles([chunk.text(i) for i in range(len(chunk.ids))], n))
 
-    return run
 
+def _ask(n: int, bits: int, buckets: int):
+    """A chunk's distinct shingles by bucket, cut to ``bits`` bits, with the number of its documents that have each."""
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
-    if total:
-        # Eighths of a power of two in a byte: all that the order uses.
-        packed = [np.minimum(255, np.rint(np.log2(1.0 + t) * 8)).astype(np.uint8).tobytes() for t in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, data in rows_of(batches, "chunk", "data"):
+            every = np.concatenate([np.zeros(0, _U), *_sets(Chunk.load(data), n)]) >> _U(64 - bits)
+            found, times = np.unique(every, return_counts=True)
+            bounds = np.searchsorted(bucket_of(found << _U(64 - bits), buckets), np.arange(buckets + 1)).tolist()
+            rows = [(b, squeeze(deltas(found[i:j]), np.minimum(times[i:j], 65535).astype(np.uint16))) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "chunk", "asked"])
 
+    return run
 
-def sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """For each bucket of shingles, eight times log2 of 1 + its document frequency; one byte each, whatever the corpus."""
-    kinds = "part int, counts binary"
-    rows = docs.select(text).mapInArrow(_count(text, n), kinds).repartition(_PARTS, "part").mapInArrow(_add, kinds).collect()
-    return np.frombuffer(b"".join(r.counts for r in sorted(rows, key=lambda r: r.part)), np.uint8) if rows else np.zeros(BUCKETS, np.uint8)
 
+def _answer(table: pa.Table) -> pa.Table:
+    """For each chunk its shingles that two documents or more have, and eight times log2 of their number."""
+    chunks = table.column("chunk").to_pylist()
+    parts = [spread(v) for v in table.column("asked").to_pylist()]
+    own = [np.cumsum(p[0], dtype=_U) for p in parts]
+    _, which = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate([p[1] for p in parts]))
+    kind = np.where(total > 1, np.minimum(255, np.rint(np.log2(total) * 8)), 0).astype(np.uint8)[which]
+    at, rows = 0, []
+    for chunk, mine in zip(chunks, own, strict=True):
+        kinds = kind[at : at + len(mine)]
+        at += len(mine)
+        if kinds.any():
+            rows.append((chunk, squeeze(deltas(mine[kinds > 0]), kinds[kinds > 0])))
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary())})
 
-def ordered(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set in the global order: by its buckets' counts, then by hash."""
-    return elements[np.lexsort((elements, counts[_slots(elements)]))]
 
+def _describe(n: int, percent: int, bits: int):
+    """Each document's size, digest, shared shingles in order (if its prefix has any), their kinds, and the prefix's."""
 
-def needed(size: int, percent: int) -> int:
-    """The least overlap of a set of ``size`` with any it links to."""
-    return -(-percent * size // 100)
-
-
-def _describe(text: str, n: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(shared.value, np.uint8)
-        for batch in steps(batches, text):
-            sets = list(shingles(texts(batch.column(text)), n))
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            prefix = [ordered(s, counts)[: len(s) - needed(len(s), percent) + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix).view(np.int64))),
-                ],
-                names=["doc_id", "n_shingles", "digest", "prefix"],
-            )
+        for data, answers in rows_of(batches, "data", "answers"):
+            chunk = Chunk.load(data)
+            sets, parts = _sets(chunk, n), [spread(a) for a in answers or ()]
+            known, kinds = np.concatenate([np.zeros(0, _U), *(np.cumsum(p[0], dtype=_U) for p in parts)]), np.concatenate([np.zeros(0, np.uint8), *(p[1] for p in parts)])
+            order = np.argsort(known)
+            known, kinds = np.append(known[order], ~_U(0)), np.append(kinds[order], 0)
+            rows = []
+            for doc, s in zip(chunk.ids.tolist(), sets, strict=True):
+                cut_ = s >> _U(64 - bits)
+                at = np.searchsorted(known, cut_)
+                kind = np.where(known[at] == cut_, kinds[at], 0)
+                shared = s[kind > 0]
+                by = np.lexsort((shared, kind[kind > 0]))
+                prefix = len(s) - needed(len(s), percent) + 1 - (len(s) - len(shared)) if len(s) else 0
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                rows.append((doc, len(s), digest, shared[by].tobytes(), shared[by][:prefix].view(np.int64)) if prefix > 0 else (doc, len(s), digest, None, []))
+            if rows:
+                kinds_ = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["doc_id", "n_shingles", "digest", "shared", "prefix"])
 
     return run
 
 
-def depth(freq: np.ndarray, size: int, least: int, percent: int) -> int:
+def depth(freq: np.ndarray, size: int, least: int) -> int:
     """The l of least estimated cost for a set whose ordered elements' other occurrences number ``freq``.
 
     Scanning the prefix costs the lengths of its elements' lists; at most a l-th of what is scanned can be a candidate.
     """
-    first = size - needed(size, percent)
+    first = size - least
     scanned = np.cumsum(freq)[first : first + least]
     matches = np.arange(1, len(scanned) + 1)
     return int(np.argmin(scanned * (1 + VERIFY / matches))) + 1
@@ -163,18 +172,19 @@ def _forest(size: int):
     return parent, root
 
 
-def linked(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets; with ``sides``, among pairs of different sides alone."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    lists = [ordered(s, counts) for s in sets]
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(m), sizes)
+def linked(ids: list[int], sizes: np.ndarray, lists: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of ``sizes`` with their shared elements in order; with ``sides``, among
+    pairs of different sides alone."""
+    m = len(lists)
+    held = np.array([len(s) for s in lists])
+    sets = [np.sort(s) for s in lists]
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(m), held)
     _, element, freq = np.unique(flat, return_inverse=True, return_counts=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(len(flat)) - starts[owner]
-    firsts = np.array([s - needed(int(s), percent) for s in sizes])
-    depths = np.array([depth(freq[element[starts[i] : starts[i + 1]]] - 1, int(sizes[i]), needed(int(sizes[i]), percent), percent) for i in range(m)])
-    level = np.maximum(1, place - firsts[owner] + 1)  # the l from which an element is in its set's prefix
+    starts = np.concatenate([[0], np.cumsum(held)])
+    place = np.arange(len(flat)) - starts[owner] + (sizes - held)[owner]  # elements that match nothing come first
+    least = np.array([needed(int(s), percent) for s in sizes])
+    depths = np.array([depth(np.concatenate([np.zeros(sizes[i] - held[i]), freq[element[starts[i] : starts[i + 1]]] - 1.0]), int(sizes[i]), int(least[i])) for i in range(m)])
+    level = np.maximum(1, place - (sizes - least)[owner] + 1)  # the l from which an element is in its set's prefix
     inside = np.flatnonzero((level <= depths[owner]) & (freq[element] > 1))
     by = inside[np.argsort(element[inside], kind="stable")]
     bounds = np.searchsorted(element[by], np.arange(len(freq) + 1))
@@ -189,7 +199,7 @@ def linked(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, sides: np
         hits = np.bincount(owner[found[level[found] <= l]], minlength=m)
         # The side with the smaller l tests a pair; l matches within both prefixes for that l are needed.
         fits = (hits >= l) & ((depths > l) | (depths == l) & (np.arange(m) > x))
-        fits &= (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        fits &= 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
         if sides is not None:
             fits &= sides != sides[x]
         for y in np.flatnonzero(fits).tolist():
@@ -209,45 +219,53 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum())
 
 
-def _unit(text: str, n: int, percent: int, shared):
+def _unit(percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, sides = table.column("doc_id").to_pylist(), table.column("block").to_numpy()
-        values = texts(table.column(text).combine_chunks())
-        sets = list(shingles(values, n))
-        first = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        edges = linked(ids, sets, np.frombuffer(shared.value, np.uint8), None if first else sides, percent)
+        lists = [np.frombuffer(b, _U) for b in table.column("shared").to_pylist()]
+        whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        edges = linked(ids, table.column("n_shingles").to_numpy(), lists, None if whole else sides, percent)
         return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
 
-def _described(docs: DataFrame, text: str, n: int, percent: int):
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(rows, "_text", n).tobytes())
-    described = rows.mapInArrow(_describe("_text", n, percent, shared), "doc_id long, n_shingles long, digest binary, prefix array<long>")
-    return rows, shared, cut(described, "jaccard")
-
-
 def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of each row."""
-    rows, shared, described = _described(docs, text, n, percent)
-    sets = described.where("doc_id is not null and n_shingles > 0")
-    classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")), "jaccard-classes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    chunks = pack(rows, "jaccard-chunks").select("chunk", "data")
+    many = chunks.count()
+    bits, buckets = min(64, ceil(log2(max(2, many))) + 20 + SPARE), max(32, many // 2)
+    asked = chunks.mapInArrow(_ask(n, bits, buckets), "bucket long, chunk long, asked binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, shared binary").groupBy("chunk").agg(F.collect_list("shared").alias("answers"))
+    kinds = "doc_id long, n_shingles long, digest binary, shared binary, prefix array<long>"
+    described = cut(chunks.join(answers, "chunk", "left").select("data", "answers").mapInArrow(_describe(n, percent, bits), kinds), "jaccard")
+    sets = described.where("n_shingles > 0")
+    classes = cut(sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix")), "jaccard-classes")
     elements = classes.select("doc_id", F.explode("prefix").alias("element"))
     shown = elements.groupBy("element").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("element", "least")
     ties = elements.join(shown, "element").where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     groups = components(ties)
-    members = classes.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    members = classes.select("doc_id", "digest", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "root").select("doc_id", "root", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")).distinct()
+    dealt = members.join(blocks, "root").select("digest", "root", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("doc_id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    held = units.join(rows, "doc_id")
-    links = held.groupBy("root", "i", "j").applyInArrow(_unit("_text", n, percent, shared), "u long, v long")
+    units = dealt.select("digest", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    held = units.join(classes.where("shared is not null").select("digest", "doc_id", "n_shingles", "shared"), "digest")
+    links = held.groupBy("root", "i", "j").applyInArrow(_unit(percent), "u long, v long")
     copies = described.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id <> least")
     roots = components(links.union(copies.select("doc_id", "least"))).withColumnRenamed("node", "doc_id")
-    out = described.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    out = described.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    none = rows.where("doc_id is null").mapInArrow(_sizes(n), "n_shingles long")
+    return out.unionByName(none.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def _sizes(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingles(texts(batch.column("text")), n)], pa.int64())], names=["n_shingles"])
+
+    return run
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
