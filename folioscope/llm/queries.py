@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, jaccard, neighbours, pieces, quality, secrets, suffixes, tokenfiles
 from .common import table, work_path
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tokenfiles": op9_tokenfiles,
     "op10_suffixes": op10_suffixes,
 }
-
-ORACLE_SQL: dict[str, str] = {}
