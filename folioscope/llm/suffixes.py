@@ -21,21 +21,19 @@ never earlier than each other; empty tables have no rows; extra columns take no
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, steps, texts
+from .chunks import Chunk, bucket_of, deltas, later_copies, pack, rows_of, spread, squeeze
+from .common import cut
 
 LENGTH, GRAM = 50, 16
 #: Grams within a string, and so the most bytes of it left of its sample, plus one.
 PLACES = LENGTH - GRAM + 1
-CHUNK, STEP = 4 << 20, 256 << 10
+STEP = 256 << 10
 
 _U = np.uint64
 
@@ -74,110 +72,42 @@ def sample(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return places, hashes[places]
 
 
-class Chunk:
-    """Documents' ids and texts, as one compressed value."""
-
-    def __init__(self, ids: np.ndarray, starts: np.ndarray, data: np.ndarray):
-        self.ids, self.starts, self.data = ids, starts, data
-
-    @staticmethod
-    def dump(ids: list[int], values: list[bytes]) -> bytes:
-        head = struct.pack("<q", len(ids)) + np.array(ids, np.int64).tobytes() + np.cumsum([0, *map(len, values)]).astype(np.int64).tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(head + b"".join(values))
-
-    @classmethod
-    def load(cls, value: bytes) -> Chunk:
-        raw = zstandard.ZstdDecompressor().decompress(value)
-        n = struct.unpack_from("<q", raw)[0]
-        return cls(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n), np.frombuffer(raw, np.uint8)[16 + 16 * n :])
-
-    def samples(self, skip: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document's index, place in the chunk, hash) of each sample outside the documents to skip."""
-        out, i, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))], 0, len(self.ids)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + STEP, side="right")) - 1)
-            base = self.starts[i]
-            places, hashes = sample(self.data[base : self.starts[j]], self.starts[i : j + 1] - base)
-            out.append((np.searchsorted(self.starts, places + base, side="right") - 1, places + base, hashes))
-            i = j
-        docs, places, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-        if skip:
-            kept = ~np.isin(docs, np.fromiter(skip, np.int64))
-            docs, places, hashes = docs[kept], places[kept], hashes[kept]
-        return docs, places, hashes
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-    def flush():
-        nonlocal part, held, size
-        ids, values = [h[0] for h in held], [h[1] for h in held]
-        row = [
-            pa.array([part]), pa.array([ids], pa.list_(pa.int64())), pa.array([[hashlib.sha256(v).digest() for v in values]], pa.list_(pa.binary())),
-            pa.array([Chunk.dump(ids, values)], pa.binary()),
-        ]
-        part, held, size = part + 1, [], 0
-        return pa.RecordBatch.from_arrays(row, names=["chunk", "ids", "digests", "data"])
-
-    for batch in steps(batches, "text"):
-        for one in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-            held.append(one)
-            size += len(one[1])
-            if size >= CHUNK:
-                yield flush()
-    if held:
-        yield flush()
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; equal byte places of a number stand together."""
-    out = [struct.pack("<I", len(arrays))]
-    for a in arrays:
-        out.append(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)) + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _spread(value: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
-    at, out = 4, []
-    for _ in range(struct.unpack_from("<I", raw)[0]):
-        kind, width, n = struct.unpack_from("<cBQ", raw, at)
-        at += struct.calcsize("<cBQ")
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(f"{kind.decode()}{width}").ravel())
-        at += n * width
-    return out
-
-
-def _deltas(sorted_: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_, prepend=_U(0))
+def samples(held: Chunk, skip: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's index, place in the chunk, hash) of each sample outside the documents to skip."""
+    out, i, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))], 0, len(held.ids)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(held.starts, held.starts[i] + STEP, side="right")) - 1)
+        base = held.starts[i]
+        places, hashes = sample(held.data[base : held.starts[j]], held.starts[i : j + 1] - base)
+        out.append((np.searchsorted(held.starts, places + base, side="right") - 1, places + base, hashes))
+        i = j
+    docs, places, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+    if skip:
+        kept = ~np.isin(docs, np.fromiter(skip, np.int64))
+        docs, places, hashes = docs[kept], places[kept], hashes[kept]
+    return docs, places, hashes
 
 
 def _ask(buckets: int):
     """A chunk's distinct sample hashes by bucket, and which of them several of its documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, data, copies in zip(*(batch.column(c).to_pylist() for c in ("chunk", "data", "copies")), strict=True):
-                held = Chunk.load(data)
-                docs, _, hashes = held.samples({i for c in copies or () for i in c})
-                if not len(hashes):
-                    continue
-                order = np.lexsort((held.ids[docs], hashes))
-                ids, hashes = held.ids[docs][order], hashes[order]
-                first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-                last = np.append(first[1:], len(hashes)) - 1
-                several = ids[last] != ids[first]
-                hashes = hashes[first]
-                which = _bucket(hashes, buckets)
-                bounds = np.searchsorted(which, np.arange(buckets + 1))
-                rows = [(b, _squeeze(_deltas(hashes[i:j]), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "chunk", "asked"])
+        for chunk, data, copies in rows_of(batches, "chunk", "data", "copies"):
+            held = Chunk.load(data)
+            docs, _, hashes = samples(held, set(copies or ()))
+            if not len(hashes):
+                continue
+            order = np.lexsort((held.ids[docs], hashes))
+            ids, hashes = held.ids[docs][order], hashes[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            last = np.append(first[1:], len(hashes)) - 1
+            several = ids[last] != ids[first]
+            hashes = hashes[first]
+            which = bucket_of(hashes, buckets)
+            bounds = np.searchsorted(which, np.arange(buckets + 1))
+            rows = [(b, squeeze(deltas(hashes[i:j]), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "chunk", "asked"])
 
     return run
 
@@ -186,9 +116,9 @@ def _answer(table: pa.Table) -> pa.Table:
     """The hashes that two documents or more have, for each chunk that has them."""
     chunks, hashes, several = table.column("chunk").to_pylist(), [], []
     for value in table.column("asked").to_pylist():
-        deltas, bits = _spread(value)
-        hashes.append(np.cumsum(deltas, dtype=_U))
-        several.append(np.unpackbits(bits, count=len(deltas)).view(bool))
+        gaps, bits = spread(value)
+        hashes.append(np.cumsum(gaps, dtype=_U))
+        several.append(np.unpackbits(bits, count=len(gaps)).view(bool))
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     now = every[order]
@@ -201,7 +131,7 @@ def _answer(table: pa.Table) -> pa.Table:
         found = own[shared[at : at + len(own)]]
         at += len(own)
         if len(found):
-            rows.append((chunk, _squeeze(_deltas(found))))
+            rows.append((chunk, squeeze(deltas(found))))
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -214,18 +144,17 @@ def _runs(buckets: int):
     """A chunk's front-coded sorted runs of shared samples' suffixes, and spans that are known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, data, copies, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "data", "copies", "answers")), strict=True):
-                held = Chunk.load(data)
-                docs, places, hashes = held.samples({i for c in copies or () for i in c})
-                wanted = np.sort(np.concatenate([np.cumsum(_spread(a)[0], dtype=_U) for a in answers]))
-                near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                docs, places, hashes = (x[wanted[near] == hashes] for x in (docs, places, hashes))
-                which = _bucket(hashes, buckets)
-                padded = np.concatenate([np.zeros(PLACES, np.uint8), held.data, np.zeros(LENGTH, np.uint8)])
-                for b in np.unique(which).tolist():
-                    at = which == b
-                    yield _run(chunk, b, held, padded, docs[at], places[at])
+        for chunk, data, copies, answers in rows_of(batches, "chunk", "data", "copies", "answers"):
+            held = Chunk.load(data)
+            docs, places, hashes = samples(held, set(copies or ()))
+            wanted = np.sort(np.concatenate([np.cumsum(spread(a)[0], dtype=_U) for a in answers]))
+            near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            docs, places, hashes = (x[wanted[near] == hashes] for x in (docs, places, hashes))
+            which = bucket_of(hashes, buckets)
+            padded = np.concatenate([np.zeros(PLACES, np.uint8), held.data, np.zeros(LENGTH, np.uint8)])
+            for b in np.unique(which).tolist():
+                at = which == b
+                yield _run(chunk, b, held, padded, docs[at], places[at])
 
     return run
 
@@ -255,7 +184,7 @@ def _run(chunk: int, bucket: int, held: Chunk, padded: np.ndarray, docs: np.ndar
         common[1:] = np.where(differs.any(1), differs.argmax(1), LENGTH)
     rest = tails[np.arange(LENGTH) >= common[:, None]]
     before = heads[np.arange(PLACES - 1) < left[:, None]]
-    value = _squeeze(common.astype(np.uint8), rest, before, left.astype(np.uint8), right.astype(np.uint8), owner, docs.astype(np.int32), begin.astype(np.int64), spans.ravel())
+    value = squeeze(common.astype(np.uint8), rest, before, left.astype(np.uint8), right.astype(np.uint8), owner, docs.astype(np.int32), begin.astype(np.int64), spans.ravel())
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([chunk], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "chunk", "run"])
 
 
@@ -330,7 +259,7 @@ def merge(runs: list[list[bytes]], commons: list[list[int]]) -> tuple[list[int],
 def _merged(table: pa.Table) -> pa.Table:
     """The spans to remove, by chunk, from one bucket's runs."""
     chunks = table.column("chunk").to_pylist()
-    parts = [_spread(v) for v in table.column("run").to_pylist()]
+    parts = [spread(v) for v in table.column("run").to_pylist()]
     commons = [p[0].tolist() for p in parts]
     order, common = merge([unfold(c, p[1].tobytes()) for c, p in zip(commons, parts, strict=True)], commons)
     out = [p[8].reshape(-1, 3) for p in parts]
@@ -339,12 +268,10 @@ def _merged(table: pa.Table) -> pa.Table:
         left, right, owner, docs, begin = (np.concatenate([p[k] for p in parts])[order] for k in (3, 4, 5, 6, 7))
         left, right = left.astype(np.int64), right.astype(np.int64)
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])[order]
-        bounds = np.cumsum(np.concatenate([p[3] for p in parts]).astype(np.int64))
         heads = np.zeros((len(order), PLACES - 1), np.uint8)
-        spread = np.concatenate([p[3] for p in parts])
-        heads[np.arange(PLACES - 1) < spread[:, None]] = np.concatenate([p[2] for p in parts])
+        lengths = np.concatenate([p[3] for p in parts])
+        heads[np.arange(PLACES - 1) < lengths[:, None]] = np.concatenate([p[2] for p in parts])
         heads = heads[order]
-        del bounds, spread
         low, high = np.full(len(order), PLACES), np.full(len(order), -1)
         seen = np.zeros(len(order), _U)
         for j in range(PLACES):
@@ -365,7 +292,7 @@ def _merged(table: pa.Table) -> pa.Table:
         gone = high >= 0
         spans = np.stack([docs[gone], (begin - high)[gone], (begin - low + LENGTH)[gone]], 1).astype(np.int64)
         out = [np.concatenate([known, spans[source[gone] == k]]) for k, known in enumerate(out)]
-    rows = [(c, _squeeze(s.ravel())) for c, s in zip(chunks, out, strict=True) if len(s)]
+    rows = [(c, squeeze(s.ravel())) for c, s in zip(chunks, out, strict=True) if len(s)]
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -374,29 +301,28 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _finish(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, copies, found in zip(*(batch.column(c).to_pylist() for c in ("data", "copies", "found")), strict=True):
-                held, rows = Chunk.load(data), []
-                copied = {i for c in copies or () for i in c}
-                spans = np.concatenate([np.zeros((0, 3), np.int64), *(_spread(s)[0].reshape(-1, 3) for s in found or ())])
-                spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-                bounds = np.searchsorted(spans[:, 0], np.arange(len(held.ids) + 1))
-                for d, doc in enumerate(held.ids.tolist()):
-                    text = held.data[held.starts[d] : held.starts[d + 1]].tobytes()
-                    runs: list[list[int]] = [[0, len(text)]] if d in copied and len(text) >= LENGTH else []
-                    if not runs:
-                        for _, i, j in spans[bounds[d] : bounds[d + 1]].tolist():
-                            if runs and i <= runs[-1][1]:
-                                runs[-1][1] = max(runs[-1][1], j)
-                            else:
-                                runs.append([i, j])
-                    cuts = [0, *(x for r in runs for x in r), len(text)]
-                    kept = b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
-                    rows.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 4 + (pa.string(), pa.binary()), strict=True)]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names=names[: 5 + with_text])
+        for data, copies, found in rows_of(batches, "data", "copies", "found"):
+            held, rows = Chunk.load(data), []
+            copied = set(copies or ())
+            spans = np.concatenate([np.zeros((0, 3), np.int64), *(spread(s)[0].reshape(-1, 3) for s in found or ())])
+            spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+            bounds = np.searchsorted(spans[:, 0], np.arange(len(held.ids) + 1))
+            for d, doc in enumerate(held.ids.tolist()):
+                text = held.data[held.starts[d] : held.starts[d + 1]].tobytes()
+                runs: list[list[int]] = [[0, len(text)]] if d in copied and len(text) >= LENGTH else []
+                if not runs:
+                    for _, i, j in spans[bounds[d] : bounds[d + 1]].tolist():
+                        if runs and i <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], j)
+                        else:
+                            runs.append([i, j])
+                cuts = [0, *(x for r in runs for x in r), len(text)]
+                kept = b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
+                rows.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+            columns = list(zip(*rows, strict=True))
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 4 + (pa.string(), pa.binary()), strict=True)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names=names[: 5 + with_text])
 
     return run
 
@@ -404,13 +330,9 @@ def _finish(with_text: bool):
 def remove(docs: DataFrame, *, text: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (bytes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    packed = rows.where("doc_id is not null").mapInArrow(_pack, "chunk long, ids array<long>, digests array<binary>, data binary")
-    chunks = cut(packed, "chunks")
-    buckets = max(32, chunks.count() // 3)
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "one")).select("chunk", "place", "one.*")
-    least = each.groupBy("digests").agg(F.min("ids").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = each.join(least, "digests").where("ids > least").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
-    held = chunks.select("chunk", "data").join(copies.withColumn("copies", F.array("copies")), "chunk", "left")
+    chunks = pack(rows, "chunks")
+    buckets = max(32, chunks.count())
+    held = chunks.select("chunk", "data").join(later_copies(chunks), "chunk", "left")
     asked = held.mapInArrow(_ask(buckets), "bucket long, chunk long, asked binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, shared binary").groupBy("chunk").agg(F.collect_list("shared").alias("answers"))
     runs = held.join(cut(answers, "answers"), "chunk").mapInArrow(_runs(buckets), "bucket long, chunk long, run binary")

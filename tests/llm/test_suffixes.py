@@ -3,7 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from folioscope.llm import suffixes as s
+from folioscope.llm import chunks, suffixes as s
 
 from . import brute
 
@@ -19,7 +19,7 @@ def check(spark, rows):
 
 
 def test_driver_rows(spark, monkeypatch):
-    monkeypatch.setattr(s, "CHUNK", 60_000)
+    monkeypatch.setattr(chunks, "CHUNK", 60_000)
     check(spark, duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall())
 
 
@@ -33,7 +33,7 @@ def test_odd_rows(spark, monkeypatch):
     rows = list(enumerate(texts)) + [(None, passage), (None, None), (7, passage + "tail of the same id"), (6, passage)]
     rng.shuffle(rows)
     check(spark, rows)
-    monkeypatch.setattr(s, "CHUNK", 300)
+    monkeypatch.setattr(chunks, "CHUNK", 300)
     monkeypatch.setattr(s, "STEP", 100)
     check(spark, rows)
 
