@@ -28,7 +28,7 @@ def tokens(text: Column) -> Column:
 
 def cell_values(cell: Column, separator: str = ";") -> Column:
     """The trimmed non-empty values of a multi-valued cell."""
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def digit_key(line: Column) -> Column:

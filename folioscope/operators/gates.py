@@ -34,7 +34,7 @@ def closed(frame: DataFrame, vocabularies: Mapping[str, list[str]], where: str,
     """Values outside the closed vocabularies of all columns."""
     parts = []
     for column, values in vocabularies.items():
-        each = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), F.trim), lambda v: v != "")
+        each = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), lambda v: F.trim(v)), lambda v: v != "")
         unknown = F.array_except(each, F.array(*map(F.lit, values)))
         each = F.transform(unknown, lambda v: F.concat_ws(" ", F.col(where).cast("string"), v))
         parts.append(frame.select(F.lit(f"unknown {column}").alias("kind"), F.explode(each).alias("where")))
