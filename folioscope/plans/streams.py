@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,15 +12,8 @@ from .base import Tables, query
 
 
 def _run(x: Tables, make, mode: str = "complete") -> DataFrame:
-    root = x.spark.conf.get("spark.checkpoint.dir", None)
-    local = None if root else tempfile.mkdtemp(prefix="folioscope-stream-")
-    schema = x.events.schema
-    stream = e.timed(e.read(x.spark, f"{x.sf_dir}/events.parquet*", schema))
-    try:
-        return e.run(make(stream), f"s{uuid.uuid4().hex}", f"{root or 'file://' + local}/{uuid.uuid4().hex}", mode)
-    finally:
-        if local:
-            shutil.rmtree(local, ignore_errors=True)
+    stream = e.timed(e.read(x.spark, f"{x.sf_dir}/events.parquet*", x.events.schema))
+    return e.run(make(stream), f"{e.shared_folder(x.spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

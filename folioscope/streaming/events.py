@@ -6,6 +6,8 @@ number, so that a batch that is run again after a failure replaces its own outpu
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -43,9 +45,27 @@ def current(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
 
 
-def run(frame: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and gives the rows that reached the table ``name``."""
-    spark = frame.sparkSession
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local mode where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="folioscope-stream-")
+
+
+def run(frame: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is and gives its rows, which executors write below ``folder``.
+
+    In complete mode each batch replaces the table; in append mode each has a folder of its own, which it replaces.
+    """
+    spark, out = frame.sparkSession, f"{folder}/out"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    keep(spark.createDataFrame([], frame.schema), -1)
+    query = frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).parquet(out)
