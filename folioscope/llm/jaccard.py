@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, log2
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ SHINGLE, PERCENT = 5, 80
 SPARE = 13
 #: A unit's blocks: most classes and shingles of one, before a group is cut into more.
 BLOCK, BLOCK_SHINGLES = 768, 400_000
+#: Words whose hashes a task keeps.
+KEPT = 200_000
 #: Cost of one verification in list entries scanned.
 VERIFY = 48.0
 
@@ -56,15 +57,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(1)
-def _known() -> dict[bytes, int]:
-    return {}
+def shingles(values: list[bytes], n: int, known: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text. A text of fewer words has its whole sequence as one.
 
-
-def shingles(values: list[bytes], n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. A text of fewer words has its whole sequence as one."""
-    known = _known()
-    if len(known) > 400_000:
+    ``known`` keeps words' hashes for a task.
+    """
+    if len(known) > KEPT:
         known.clear()
     for value in values:
         words = value.translate(_LOW).split()
@@ -86,16 +84,17 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def _sets(chunk: Chunk, n: int) -> list[np.ndarray]:
-    return list(shingles([chunk.text(i) for i in range(len(chunk.ids))], n))
+def _sets(chunk: Chunk, n: int, known: dict[bytes, int]) -> list[np.ndarray]:
+    return list(shingles([chunk.text(i) for i in range(len(chunk.ids))], n, known))
 
 
 def _ask(n: int, bits: int, buckets: int):
     """A chunk's distinct shingles by bucket, cut to ``bits`` bits, with the number of its documents that have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for chunk, data in rows_of(batches, "chunk", "data"):
-            every = np.concatenate([np.zeros(0, _U), *_sets(Chunk.load(data), n)]) >> _U(64 - bits)
+            every = np.concatenate([np.zeros(0, _U), *_sets(Chunk.load(data), n, known)]) >> _U(64 - bits)
             found, times = np.unique(every, return_counts=True)
             bounds = np.searchsorted(bucket_of(found << _U(64 - bits), buckets), np.arange(buckets + 1)).tolist()
             rows = [(b, squeeze(deltas(found[i:j]), np.minimum(times[i:j], 65535).astype(np.uint16))) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i]
@@ -126,9 +125,10 @@ def _describe(n: int, percent: int, bits: int):
     """Each document's size, digest, shared shingles in order (if its prefix has any), their kinds, and the prefix's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, int] = {}
         for data, answers in rows_of(batches, "data", "answers"):
             chunk = Chunk.load(data)
-            sets, parts = _sets(chunk, n), [spread(a) for a in answers or ()]
+            sets, parts = _sets(chunk, n, words), [spread(a) for a in answers or ()]
             known, kinds = np.concatenate([np.zeros(0, _U), *(np.cumsum(p[0], dtype=_U) for p in parts)]), np.concatenate([np.zeros(0, np.uint8), *(p[1] for p in parts)])
             order = np.argsort(known)
             known, kinds = np.append(known[order], ~_U(0)), np.append(kinds[order], 0)
@@ -235,7 +235,7 @@ def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunks = pack(rows, "jaccard-chunks").select("chunk", "data")
     many = chunks.count()
-    bits, buckets = min(64, ceil(log2(max(2, many))) + 20 + SPARE), max(32, many // 2)
+    bits, buckets = min(64, ceil(log2(max(2, many))) + 20 + SPARE), max(32, many)
     asked = chunks.mapInArrow(_ask(n, bits, buckets), "bucket long, chunk long, asked binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, shared binary").groupBy("chunk").agg(F.collect_list("shared").alias("answers"))
     kinds = "doc_id long, n_shingles long, digest binary, shared binary, prefix array<long>"
@@ -263,7 +263,7 @@ def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int
 def _sizes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingles(texts(batch.column("text")), n)], pa.int64())], names=["n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingles(texts(batch.column("text")), n, {})], pa.int64())], names=["n_shingles"])
 
     return run
 
