@@ -276,10 +276,11 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     stay = join(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
     text = options.get("text", "text")
     stay = cut(stay, "jaccard-first")
-    kept = docs.join(stay.where("_copies = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    # The ids grow with the corpus, so they are never broadcast, however few there are in a small one.
+    kept = docs.join(stay.where("_copies = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if stay.where("_copies > 1").isEmpty():
         return kept
-    again = docs.join(stay.where("_copies > 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(stay.where("_copies > 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", text)]
     least = again.groupBy("doc_id").agg(F.min(F.struct(text, *others)).alias("_row")).select("doc_id", "_row.*")
     return kept.unionByName(least.select(docs.columns))
