@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, neighbours, pieces, quality, secrets, suffixes, tokenfiles
+from . import chat, decontaminate, fixity, jaccard, neighbours, pieces, quality, secrets, suffixes, tokenfiles
 from .common import table, work_path
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -38,6 +38,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = fixity.as_records(pages, F.floor(F.col("page_id") / 128).alias("archive"), F.col("page_id"), F.col("url"), F.col("html"))
+    return fixity.audit(fixity.laid_out(fixity.measure(fixity.damaged(records)), "replica"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
     "op5_jaccard": op5_jaccard,
+    "op6_fixity": op6_fixity,
     "op7_secrets": op7_secrets,
     "op8_neighbours": op8_neighbours,
     "op9_tokenfiles": op9_tokenfiles,
