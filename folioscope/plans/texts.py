@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from folioscope.functions import text as t
-from folioscope.operators import chunking, layout as l, ranking as r
+from folioscope.operators import chunking, layout as l, passages, ranking as r
 
 from .base import Tables, query
 
@@ -185,12 +185,8 @@ def snippet_head(x: Tables):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 40")
 def hit_documents(x: Tables):
-    """Documents that hold a benchmark text: equal forty-character windows from word starts, then the whole text."""
-    items = F.broadcast(x.benchmark.where("length(text) >= 40").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 40).alias("head")))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 39, F.lit(1))), lambda i: (i == 1) | F.substring("text", i - 1, F.lit(1)).rlike(r"\s"))
-    heads = x.documents.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("text", i, F.lit(40))))).alias("head"))
-    near = heads.join(items, "head").select("doc_id", "item_id", "item").distinct()
-    return near.join(x.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    """Documents that hold a benchmark text, of any length and at any place."""
+    return passages.holding(x.documents, x.benchmark)
 
 
 @query("SELECT source AS strategy, count(*) AS n, round(avg(quality) FILTER (WHERE rank <= 1), 6) AS top1, round(avg(quality) FILTER (WHERE rank <= 3), 6) AS top3, round(avg(quality), 6) AS top10, max(quality) AS best, count(*) FILTER (WHERE quality IS NULL) AS missing FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, quality FROM documents LEFT JOIN labels USING (doc_id)) WHERE rank <= 10 GROUP BY source")
