@@ -7,8 +7,8 @@ where inside its span the turn's text stands; the texts of the loss roles make u
 
 Rows are sorted by conversation and turn (ties: role, then text) over range partitions, so that a conversation of any length
 is dealt over several tasks, and are formatted in segments of at most ``SEGMENT`` turns. That needs a template whose
-output for turns in a row is that of each turn joined, which ``is_local`` probes for each pair of roles; with any other
-template each conversation is one segment, held by one task.
+output for turns in a row is that of each turn joined. No probe can show that, so its author declares it (``local``);
+``is_local`` only finds wrong declarations. With any other template each conversation is one segment, held by one task.
 
 Defined results: a null role or text counts as empty, a null conversation id is an id of its own; repeated rows are
 turns of their own; a conversation without rows has no output; extra columns take no part.
@@ -47,6 +47,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def local(template: Template) -> Template:
+    """Declares that turns in a row come out as each turn's own output joined, whatever their roles, texts and number."""
+    template.local = True
+    return template
+
+
+@local
 def instruct(turns: list[Turn]) -> str:
     """The operator's own template: each turn between marks of its role, other roles by name."""
     out = []
@@ -126,9 +133,9 @@ def format_conversations(turns: DataFrame, *, template: Template = instruct, los
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     by = ["conv_id", "turn", "role", "text"]
-    local = is_local(template)
-    dealt = (rows.repartitionByRange(*by) if local else rows.repartition("conv_id")).sortWithinPartitions(*by)
-    return dealt.mapInArrow(_formatter(template, frozenset(loss_roles), segment if local else None), f"conv_id long, {_OUT}")
+    parted = getattr(template, "local", False) and is_local(template)
+    dealt = (rows.repartitionByRange(*by) if parted else rows.repartition("conv_id")).sortWithinPartitions(*by)
+    return dealt.mapInArrow(_formatter(template, frozenset(loss_roles), segment if parted else None), f"conv_id long, {_OUT}")
 
 
 def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import re
+
 from folioscope.llm import chat as c
 from hypothesis import given, settings, strategies as st
 
@@ -36,3 +38,18 @@ def test_against_brute_force(spark):
     whole = c.format_conversations(df, template=lambda t: "^" + c.instruct(t)).collect()
     assert {r.conv_id: r.n_turns for r in whole} == {k: v[0] for k, v in brute.chat(ROWS).items()}
     assert c.digest(c.format_conversations(df.limit(0))).count() == 0
+
+
+def without_thoughts(turns):
+    """Strips thoughts from all assistant turns but the last."""
+    last = len(turns) - 1
+    return "".join(f"<{r}>{re.sub('<think>.*?</think>', '', x) if r == 'assistant' and k < last else x}" for k, (r, x) in enumerate(turns))
+
+
+def test_undeclared_templates_are_rendered_whole(spark):
+    turns = [(("user", "assistant")[i % 2], f"<think>{i}</think>said {i}") for i in range(130)]
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert c.is_local(without_thoughts)
+    got = c.format_conversations(df, template=without_thoughts).collect()
+    assert [(r.n_turns, r.formatted, r.rewritten) for r in got] == [(130, without_thoughts(turns), True)]
+    assert len(c.format_conversations(df).collect()) > 1
