@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before kept; each result is written to the shared folder and read again. Documents
 that the classifier rejects, all but the smallest doc_id of each group of near duplicates, and contaminated documents
-go; secrets are replaced by a mark; the last stage gives ids, their number, and whether they decode to the text.
+go; benchmark windows are cut out of the texts that stay; secrets are replaced by a mark; the last stage gives ids, their number, and whether they decode to the text.
 """
 
 from __future__ import annotations
@@ -25,15 +25,19 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.first_of_each(docs, n=5, percent=80)
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, if it has them, counted anew."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of whose words less than a twentieth stand in benchmark windows."""
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    """The documents of whose words less than a twentieth stand in benchmark windows, without those windows."""
+    return counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
 
 
 def unlocked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    return counted(secrets.redact(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,10 +177,18 @@ def _without(text: str):
     return strip
 
 
+def _cut_out(scanned: DataFrame, text: str) -> DataFrame:
+    return scanned.mapInArrow(_without(text), T.StructType([f for f in scanned.schema if f.name not in _ROW.names]))
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` with the hit spans cut out of the texts; a null text becomes empty."""
-    scanned = scan(docs, benchmark, text=text, **options)
-    return scanned.mapInArrow(_without(text), T.StructType([f for f in scanned.schema if f.name not in _ROW.names]))
+    return _cut_out(scan(docs, benchmark, text=text, **options), text)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """``docs`` without contaminated documents, and the others without their hit spans, from one scan; a null text becomes empty."""
+    return _cut_out(scan(docs, benchmark, text=text, **options).where(~contaminated()), text)
 
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:

@@ -1,3 +1,4 @@
+import corpus_pipeline
 import pytest
 from folioscope.llm import decontaminate as d
 
@@ -27,3 +28,16 @@ def test_removal_and_empty_tables(spark):
     assert cut[5] == "" and cut[8] == "... !!" and cut[1] == " n" and cut[10] == "é1 " "ÉÜ "
     assert d.scan(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert d.scan(docs.limit(0), items).count() == 0
+
+
+def test_the_pipeline_leaves_no_window(spark):
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
+    size = len(d.words(item.encode()))
+    long = "w " * (30 * size)
+    docs = spark.createDataFrame([(1, f"{long}{item} {long}", 1), (2, item, 2), (3, long, 3)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.unseen(spark, docs, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {1, 3} and got[3] == (long, len(long)) and item not in got[1][0] and got[1][1] == len(got[1][0])
+    assert got[1][0].split().count("w") == 60 * size
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    left = spark.createDataFrame([(k, *v) for k, v in got.items()], "doc_id long, text string, n_chars long")
+    assert d.scan(left, items).where("n_hit > 0").count() == 0
