@@ -3,9 +3,9 @@
 Three base kinds are found leftmost and non-overlapping, each kind by itself: ``assign`` (a keyword, a separator and a
 value of 12 characters or more), ``access`` (``AKIA`` and 14 or more capitals and digits) and ``hex`` (16 or more of
 ``0-9a-f``). The fourth kind, ``entropy``, is judged by a window of ``WINDOW`` characters that slides over each candidate
-string: an array of counts gains the character that enters and loses the one that leaves, and the sum of n*log2(n) over
-the counts is corrected by those two terms alone, which gives the window's Shannon entropy. A string is reported if any
-window reaches the threshold of its character class, unless the allow-list names it.
+string: the counts gain the character that enters and lose the one that leaves, and the sum of n*log2(n) over the counts,
+in whole units that don't drift, is corrected by those two terms alone, which gives the window's Shannon entropy. A
+string is reported if any window reaches the threshold of its character class, unless the allow-list names it.
 
 Defined results: a null or empty text has no spans; repeated rows each get their own result; offsets count code points,
 ends are exclusive; overlapping spans of different kinds are all reported; columns named like results are replaced.
@@ -31,79 +31,112 @@ CLASSES = (
     ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 3.0),
     ("^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 )
-#: Never reported: no digit or no letter, words joined by marks, one short piece again and again, samples.
-ALLOWED = r"^[^0-9]+$|^[^A-Za-z]+$|^[A-Za-z]+(?:[/_=-]+[A-Za-z]+)*[/_=-]*[0-9]{0,4}$|^(.{1,4})\1+.{0,3}$|(?i:example|sample|placeholder|xxxxx)"
+#: Never reported: no digit or no letter, words joined by marks, one short piece again and again, samples. What can repeat
+#: without bound gives nothing back (``++``): Java matches groups that may by recursion, and a long slug would end the stack.
+ALLOWED = r"^[^0-9]+$|^[^A-Za-z]+$|^[A-Za-z]++(?:[/_=-]++[A-Za-z]++)*+[/_=-]*+[0-9]{0,4}$|^(.{1,4})\1+.{0,3}$|(?i:example|sample|placeholder|xxxxx)"
 #: Matches that one inner step places; keeps the work on texts with very many matches near linear.
 _BLOCK = 64
+#: Fraction bits of n*log2(n), and characters of a candidate that are judged at once.
+_BITS, _PIECE = 40, 4096
 
 
-def _entropy(text: Column, alphabet: str) -> Column:
-    """The highest Shannon entropy, in bits, of any window of ``WINDOW`` characters of ``text``."""
-    terms = F.array(*(F.lit(n * log2(n) if n else 0.0) for n in range(WINDOW + 1)))
+def _with(value: Column, then) -> Column:
+    """``then(value)``, which may use the value several times or for each element: an array of one row makes it once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _lowest(text: Column, alphabet: str) -> Column:
+    """The lowest sum of n*log2(n) over a window's counts, in units of 2^-``_BITS``, of any window of ``text``.
+
+    Counts are letters of a string, one for each symbol of ``alphabet``, so that a step changes two of them in place.
+    """
+    terms = F.array(*(F.lit(_term(n)) for n in range(WINDOW + 1)))
+    count = lambda counts, symbol: F.ascii(F.substring(counts, symbol, F.lit(1))) - ord("A")
+    put = lambda counts, symbol, n: F.overlay(counts, F.char(n + ord("A")), symbol, F.lit(1))
+    step = lambda state, **now: F.struct(*(now.get(k, state[k]).alias(k) for k in ("counts", "sum", "best", "seen")))
+
+    def leave(state: Column, symbol: Column) -> Column:
+        n = count(state["counts"], symbol)
+        return F.when(symbol == 0, state).otherwise(step(state, counts=put(state["counts"], symbol, n - 1), sum=state["sum"] - F.get(terms, n) + F.get(terms, n - 1)))
+
+    def enter(state: Column, symbol: Column) -> Column:
+        n = count(state["counts"], symbol)
+        total, seen = state["sum"] - F.get(terms, n) + F.get(terms, n + 1), state["seen"] + 1
+        best = F.when(seen >= WINDOW, F.least(state["best"], total)).otherwise(state["best"])
+        return step(state, counts=put(state["counts"], symbol, n + 1), sum=total, best=best, seen=seen)
+
+    start = F.struct(F.lit("A" * len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(_term(WINDOW)).alias("best"), F.lit(0).alias("seen"))
     codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
 
-    def slide(state: Column, step: Column) -> Column:
-        enters, leaves = step["enters"], step["leaves"]
-        counts, same = state["counts"], (enters == leaves).cast("int")
-        out, into = F.get(counts, leaves - 1), F.get(counts, enters - 1)
-        added = F.get(terms, into - same + 1) - F.get(terms, into - same)
-        total = state["sum"] + added + F.when(leaves > 0, F.get(terms, out - 1) - F.get(terms, out)).otherwise(0.0)
-        return F.struct(
-            F.transform(counts, lambda n, k: n + (k == enters - 1).cast("int") - (k == leaves - 1).cast("int")).alias("counts"),
-            total.alias("sum"),
-            F.when(step["full"], F.greatest(state["best"], F.lit(log2(WINDOW)) - total / WINDOW)).otherwise(state["best"]).alias("best"),
-        )
+    def walk(codes: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(0), WINDOW), codes)
+        moves = F.zip_with(codes, F.slice(leaving, F.lit(1), F.size(codes)), lambda x, y: F.struct(x.alias("enters"), y.alias("leaves")))
+        return F.aggregate(moves, start, lambda state, move: _with(leave(state, move["leaves"]), lambda now: enter(now, move["enters"])), lambda state: state["best"])
+
+    return _with(codes, walk)
+
+
+def _term(n: int) -> int:
+    return round(n * log2(n) * (1 << _BITS)) if n else 0
 
-    walk = F.transform(
-        codes, lambda c, k: F.struct(c.alias("enters"), F.coalesce(F.get(codes, k - WINDOW), F.lit(0)).alias("leaves"), (k >= WINDOW - 1).alias("full"))
-    )
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(walk, start, slide, lambda state: state["best"])
+
+def _reaches(text: Column, alphabet: str, least: float) -> Column:
+    """Whether any window of ``text`` has an entropy of ``least`` bits. A long text goes piece by piece, each with the start of the
+    next, up to the first that has."""
+    limit = int((log2(WINDOW) - least + 1e-9) * WINDOW * (1 << _BITS))
+
+    def found(pieces: Column) -> Column:
+        whole = F.transform(pieces, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(pieces, i + 1), F.lit("")), 1, WINDOW - 1)))
+        return F.exists(whole, lambda x: _lowest(x, alphabet) <= limit)
+
+    return _with(F.regexp_extract_all(text, F.lit(f".{{1,{_PIECE}}}"), F.lit(0)), found)
 
 
 def _random(text: Column) -> Column:
     """Whether the allow-list doesn't name ``text`` and its entropy reaches its class's threshold."""
     (hexes, low, least), (_, every, much) = CLASSES
-    judged = F.when(text.rlike(hexes), _entropy(F.lower(text), low) >= least).otherwise(_entropy(text, every) >= much)
+    judged = F.when(text.rlike(hexes), _reaches(F.lower(text), low, least)).otherwise(_reaches(text, every, much))
     return ~text.rlike(ALLOWED) & judged
 
 
 def _placed(found: Column, gaps: Column, kind: int) -> Column:
-    """Structs (start, kind, end, match) of the matches, given the texts before, between and behind them."""
-    empty = "array<struct<start:int,kind:int,end:int,match:string>>"
+    """Structs (start, kind, end) of the matches, given the texts before, between and behind them."""
+    empty = "array<struct<start:int,kind:int,end:int>>"
 
     def place(state: Column, i: Column) -> Column:
         start = state["at"] + F.length(F.get(gaps, i))
         end = start + F.length(F.get(found, i))
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(found, i).alias("match"))
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     def block(state: Column, first: Column) -> Column:
         inner = F.aggregate(
             F.sequence(first, F.least(first + _BLOCK, F.size(found)) - 1), F.struct(state["at"].alias("at"), F.array().cast(empty).alias("out")), place
         )
-        return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
+        return _with(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["out"], F.array(x["out"])).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{empty}>").alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_BLOCK)), start, block, lambda state: F.flatten(state["out"]))
 
 
-def _kept(kind: int, pattern: str, text: str, test) -> Column:
-    """The spans of the matches that pass ``test``; only a text with such a match is cut at its matches."""
+def _kept(kind: int, pattern: str, text: str) -> Column:
+    """The spans of the matches that passed; only a text with such a match is cut at its matches."""
     found, none = F.col(f"_found{kind}"), F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    placed = _placed(found, F.split(text, pattern, -1), kind)
-    kept = F.transform(F.filter(placed, lambda x: test(x["match"])), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return F.when(F.exists(found, test), kept).otherwise(none).alias(f"_spans{kind}")
+    placed = _with(F.split(text, pattern, -1), lambda gaps: _placed(found, gaps, kind))
+    kept = F.filter(placed, lambda x, i: F.get(f"_sound{kind}", i))
+    return F.when(F.exists(f"_sound{kind}", lambda x: x), kept).otherwise(none).alias(f"_spans{kind}")
 
 
-def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", found: str = "found") -> DataFrame:
     """``docs`` with ``found``: the spans as structs (start, kind, end), sorted; ``kind`` indexes ``KINDS``."""
-    own = {f"_found{k}" for k in range(4)} | {f"_spans{k}" for k in range(4)} | {"found"}
-    names = [c for c in docs.columns if c not in own]
-    out = docs.select(*names, *(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)).alias(f"_found{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))))
+    kinds = range(len(KINDS))
+    own = {f"_{name}{k}" for name in ("found", "sound", "spans") for k in kinds} | {found}
+    names, patterns = [c for c in docs.columns if c not in own], (ASSIGN, ACCESS, HEX, CANDIDATE)
     tests = (lambda m: m.rlike(LONG_ASSIGN), lambda m: F.lit(True), lambda m: F.lit(True), _random)
-    out = out.select(*names, *(_kept(k, p, text, test) for k, (p, test) in enumerate(zip((ASSIGN, ACCESS, HEX, CANDIDATE), tests, strict=True))))
-    return out.select(*names, F.array_sort(F.concat(*(f"_spans{k}" for k in range(4)))).alias("found"))
+    out = docs.select(*names, *(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(patterns[k]), F.lit(0)).alias(f"_found{k}") for k in kinds))
+    out = out.select(*names, *(f"_found{k}" for k in kinds), *(F.transform(f"_found{k}", tests[k]).alias(f"_sound{k}") for k in kinds))
+    out = out.select(*names, *(_kept(k, patterns[k], text) for k in kinds))
+    return out.select(*names, F.array_sort(F.concat(*(f"_spans{k}" for k in kinds))).alias(found))
 
 
 def spell(spans: Column) -> Column:
@@ -121,18 +154,42 @@ def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _runs(found: Column) -> Column:
+    """Overlapping or touching spans as one; the array is folded in blocks, so that work stays near linear."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def merge(state: Column, x: Column) -> Column:
+        joins = x["start"] <= state["end"]
+        closed = F.when(joins | (state["end"] < 0), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(state["start"].alias("start"), state["end"].alias("end")))))
+        return F.struct(
+            F.when(joins, state["start"]).otherwise(x["start"]).alias("start"), F.when(joins, F.greatest(state["end"], x["end"])).otherwise(x["end"]).alias("end"), closed.alias("out")
+        )
+
+    def block(state: Column, first: Column) -> Column:
+        inner = F.aggregate(F.slice(found, first, F.lit(_BLOCK)), F.struct(state["start"].alias("start"), state["end"].alias("end"), empty.alias("out")), merge)
+        return _with(inner, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+    last = lambda state: F.concat(F.flatten(state["out"]), F.array(F.struct(state["start"].alias("start"), state["end"].alias("end"))))
+    return F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(_BLOCK)), start, block, last)
+
+
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mark`` in the place of each run of overlapping spans; a text without spans stays as it is."""
-    merge = F.aggregate(
-        "found", F.array().cast("array<struct<start:int,end:int>>"),
-        lambda runs, x: F.when(
-            (F.size(runs) > 0) & (x["start"] <= F.element_at(runs, -1)["end"]),
-            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.element_at(runs, -1)["start"].alias("start"), F.greatest(F.element_at(runs, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(runs, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
-    runs = scan(docs, text=text).withColumn("_runs", F.when(F.size("found") > 0, merge))
-    r, whole = F.col("_runs"), F.col(text)
-    before = F.transform(r, lambda x, k: (lambda at: F.substring(whole, at + 1, x["start"] - at))(F.coalesce(F.get(r, k - 1)["end"], F.lit(0))))
-    tail = F.substring(whole, F.element_at(r, -1)["end"] + 1, F.length(whole))
-    clean = F.when(r.isNull(), whole).otherwise(F.array_join(F.concat(before, F.array(tail)), mark))
-    return runs.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns if c != "found"))
+    """``docs`` with ``mark`` in the place of each run of overlapping spans; a text without spans stays as it is.
+
+    A text with spans is cut into pieces of ``_PIECE`` characters first, so that each kept part is taken out of few of them.
+    """
+    names, r = [F.col(c) for c in docs.columns], F.col("_runs")
+    scanned = scan(docs, text=text, found="_secrets")
+    runs = scanned.select(*names, F.when(F.size("_secrets") > 0, _runs(F.col("_secrets"))).alias("_runs"))
+    cut = runs.select(*names, "_runs", F.when(r.isNotNull(), F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).alias("_pieces"))
+
+    def part(start: Column, end: Column) -> Column:
+        """The characters from ``start`` to ``end``."""
+        inside = F.slice("_pieces", F.floor(start / _PIECE).cast("int") + 1, F.floor(F.greatest(end - 1, start) / _PIECE).cast("int") - F.floor(start / _PIECE).cast("int") + 1)
+        return F.substring(F.array_join(inside, ""), F.pmod(start, F.lit(_PIECE)) + 1, end - start)
+
+    before = F.transform(r, lambda x, k: part(F.coalesce(F.get(r, k - 1)["end"], F.lit(0)), x["start"]))
+    tail = part(F.element_at(r, -1)["end"], F.length(text))
+    clean = F.when(r.isNull(), F.col(text)).otherwise(F.array_join(F.concat(before, F.array(tail)), mark))
+    return cut.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
