@@ -2,7 +2,7 @@
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. Each window of ``n`` consecutive words of an
 item, or the whole item if it has fewer words (but not none), is one window. The windows' hashes are broadcast in
-blocks of bounded size; each document window is looked up by hash and every hit is verified word by word.
+blocks of bounded size, as arrays; each document window is looked up by hash and every hit is verified word by word.
 
 Defined results: a null or empty text has no words and no hits; a null item id takes no part; repeated rows each get
 their own result; an empty benchmark hits nothing; extra columns pass through untouched; result columns that clash with
@@ -11,7 +11,6 @@ input columns replace them.
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,13 +22,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import cut, steps, texts
 
 WINDOW = 13
-#: Bytes of benchmark text whose windows one broadcast holds; a larger benchmark is scanned for in several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text, and distinct words, whose windows one broadcast holds (some 100 MB in a worker at most); a
+#: larger benchmark is scanned for in several passes.
+BLOCK_BYTES, VOCABULARY = 16 << 20, 400_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_GAP = np.zeros(1, np.int32)
 _ROW = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_longest", T.LongType()), T.StructField("hits", T.BinaryType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
 ])
 
 
@@ -37,117 +39,179 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class Windows:
-    """The windows of some benchmark items, for lookup."""
+class Block:
+    """Some benchmark items' words, numbered, as they are gathered."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[tuple[int, ...], list[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for window in {tuple(ids[i : i + n]) for i in range(max(1, len(ids) - n + 1))} if ids else ():
-                self.exact.setdefault(window, []).append(item)
+        self.names: list[str] = []
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, item: str, text: bytes) -> None:
+        ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+        if ids:
+            self.names.append(item)
+            self.parts.append(np.array(ids, np.int32))
+            self.size += len(text)
+
+    def full(self, more: int, limit: int) -> bool:
+        return bool(self.names) and (self.size + more > limit or len(self.vocabulary) > VOCABULARY)
+
+
+class Windows:
+    """The distinct windows of a block, by size: sorted hashes, a place of each in the items' words, and the items with it."""
+
+    def __init__(self, block: Block, n: int):
+        self.vocabulary, self.names = block.vocabulary, block.names
+        self.flat = np.concatenate([np.zeros(0, np.int32), *block.parts])
         self.mixed = np.random.default_rng(13).integers(1, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64)
-        self.hashes = {}
-        for size in {len(w) for w in self.exact}:
-            rows = np.array([w for w in self.exact if len(w) == size], dtype=np.int64)
-            self.hashes[size] = np.unique(self._hash([rows[:, j] for j in range(size)]))
-
-    def _hash(self, columns: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.mixed[c]
+        lengths = np.array([len(p) for p in block.parts], np.int64)
+        starts, sizes = np.cumsum(lengths) - lengths, np.minimum(lengths, n)
+        self.by_size = {}
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            counts = lengths[own] - size + 1
+            item = np.repeat(own, counts).astype(np.int32)
+            place = np.repeat(starts[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = self._hash(self.flat, place, size)
+            order = np.lexsort((place, hashes))
+            item, place, hashes = item[order], place[order].astype(np.int32), hashes[order]
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | ~self._same(self.flat, place[1:], place[:-1], size))
+            window = np.cumsum(new) - 1
+            pairs = np.unique(window.astype(np.int64) << 32 | item)
+            bounds = np.searchsorted(pairs >> 32, np.arange(window[-1] + 2))
+            self.by_size[size] = hashes[new], place[new], bounds.astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+    def _hash(self, ids: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        h = np.zeros(len(places), np.uint64)
+        for k in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + self.mixed[ids[places + k]]
         return h
 
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
-        """(start, end, items) of each window in ``ids``; 0 stands for any word that no item has."""
+    def _same(self, ids: np.ndarray, places: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+        """Whether the words of ``ids`` from each place on are those of the items' words from ``own`` on."""
+        same = np.ones(len(places), bool)
+        for k in range(size):
+            same &= ids[places + k] == self.flat[own + k]
+        return same
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, starts, the items' bounds, items) of the windows in ``ids``; 0 stands for any word that no item has.
+
+        A place is looked up by hash; each window with that hash is then compared word by word.
+        """
         zeros = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, hashes in self.hashes.items():
-            if len(ids) < size:
-                continue
+        for size, (hashes, places, bounds, items) in self.by_size.items():
             at = np.flatnonzero(zeros[size:] == zeros[:-size])
-            if len(at):
-                h = self._hash([ids[at + j] for j in range(size)])
-                near = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)]
-                for i in at[near == h].tolist():
-                    if found := self.exact.get(tuple(ids[i : i + size].tolist())):
-                        yield i, i + size, found
+            if not len(at):
+                continue
+            h = self._hash(ids, at, size)
+            near = np.searchsorted(hashes, h)
+            while len(at):  # several windows of one hash stand side by side
+                live = (near < len(hashes)) & (hashes[np.minimum(near, len(hashes) - 1)] == h)
+                at, h, near = at[live], h[live], near[live]
+                same = self._same(ids, at, places[near], size)
+                if same.any():
+                    yield size, at[same], np.stack([bounds[near[same]], bounds[near[same] + 1]], 1), items
+                at, h, near = at[~same], h[~same], near[~same] + 1
+
+
+def _searched(windows: Windows, batch: pa.RecordBatch, column: str) -> list[pa.Array]:
+    """The result columns of a batch's documents, those of earlier passes included."""
+    parts, get = [], windows.vocabulary.get
+    for text in texts(batch.column(column)):
+        found = words(text)
+        parts.append(np.fromiter(map(get, found, repeat(0)), np.int32, len(found)))
+    lengths = np.array([len(p) for p in parts])
+    ends = np.cumsum(lengths + 1)
+    starts = ends - lengths - 1
+    ids = np.concatenate([x for part in parts for x in (part, _GAP)])  # a gap keeps windows inside a document
+    before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [None] * len(starts)
+    earlier = batch.column("items").to_pylist() if "items" in batch.schema.names else [None] * len(starts)
+    items = [set(old or ()) for old in earlier]
+    edges = np.zeros(len(ids) + 1, np.int64)
+    for row, old in enumerate(before):
+        for i, j in np.frombuffer(old or b"", np.int64).reshape(-1, 2) + starts[row]:
+            edges[i] += 1
+            edges[j] -= 1
+    for size, at, bounds, which in windows.find(ids):
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + size, -1)
+        rows = np.searchsorted(starts, at, side="right") - 1
+        for row, i, j in np.unique(np.column_stack([rows, bounds]), axis=0).tolist():
+            items[row].update(windows.names[k] for k in which[i:j].tolist())
+    hit = np.append(np.cumsum(edges[:-1]) > 0, False).astype(np.int8)
+    turns = np.diff(hit, prepend=0)
+    spans = np.stack([np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)], 1)
+    row = np.searchsorted(starts, spans[:, 0], side="right") - 1
+    cuts, sizes = np.searchsorted(row, np.arange(len(starts) + 1)).tolist(), spans[:, 1] - spans[:, 0]
+    inside = (spans - starts[row, None]).astype(np.int64)
+    longest = np.zeros(len(starts), np.int64)
+    np.maximum.at(longest, row, sizes)
+    return [
+        pa.array(lengths, pa.int64()),
+        pa.array(np.bincount(row, sizes, len(starts)).astype(np.int64), pa.int64()),
+        pa.array(longest, pa.int64()),
+        pa.array([inside[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+    ]
 
 
 def _scan(column: str, shared, names: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = pickle.loads(shared.value)
-        get = windows.vocabulary.get
         for batch in steps(batches, column):
-            starts, parts, at = [], [], 0
-            for text in texts(batch.column(column)):
-                found = words(text)
-                parts.append(np.fromiter(map(get, found, repeat(0)), np.int64, len(found)))
-                starts.append(at)
-                at += len(found) + 1
-            ids = np.zeros(at, np.int64)  # a zero after each document keeps windows inside it
-            for start, part in zip(starts, parts, strict=True):
-                ids[start : start + len(part)] = part
-            spans: list[list[tuple[int, int]]] = [[] for _ in starts]
-            items: list[set[str]] = [set() for _ in starts]
-            marks = np.array(starts)
-            for i, j, which in windows.find(ids):
-                row = int(np.searchsorted(marks, i, side="right")) - 1
-                spans[row].append((i - starts[row], j - starts[row]))
-                items[row].update(which)
-            before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [None] * len(starts)
-            earlier = batch.column("items").to_pylist() if "items" in batch.schema.names else [None] * len(starts)
-            for row, (old, had) in enumerate(zip(before, earlier, strict=True)):
-                spans[row] = _merged([*spans[row], *(map(tuple, np.frombuffer(old, np.int64).reshape(-1, 2).tolist()) if old else ())])
-                items[row].update(had or ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names]
-                + [
-                    pa.array([len(p) for p in parts], pa.int64()),
-                    pa.array([sum(j - i for i, j in s) for s in spans], pa.int64()),
-                    pa.array([np.array(s, np.int64).tobytes() for s in spans], pa.binary()),
-                    pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-                ],
-                names=[*names, *_ROW.names],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *_searched(shared.value, batch, column)], names=[*names, *_ROW.names])
 
     return scan
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for i, j in sorted(spans):
-        if out and i <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], j))
-        else:
-            out.append((i, j))
-    return out
+def _strip(column: str, shared, names: list[str], longest: int | None):
+    """The rows without their hit spans; with ``longest``, without the rows that are contaminated or hold so many hit words in a row."""
 
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, column):
+            n_words, n_hit, n_longest, hits, _ = _searched(shared.value, batch, column)
+            n_words, n_hit, n_longest = (np.asarray(x) for x in (n_words, n_hit, n_longest))
+            stay = np.ones(batch.num_rows, bool) if longest is None else ((n_hit == 0) | (20 * n_hit < n_words)) & (n_longest < longest)
+            kept = pa.array(stay)
+            batch, out = batch.filter(kept), []
+            for value, found in zip(texts(batch.column(column)), hits.filter(kept).to_pylist(), strict=True):
+                ends, parts, at = [m.span() for m in _WORD.finditer(value)] if found else [], [], 0
+                for i, j in np.frombuffer(found, np.int64).reshape(-1, 2).tolist():
+                    parts.append(value[at : ends[i][0]])
+                    at = ends[j - 1][1]
+                out.append(b"".join([*parts, value[at:]]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == column else batch.column(n) for n in names], names=names)
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``n_words``, ``n_hit`` (words inside windows), ``hits`` (int64 pairs: merged runs of
-    hit words) and ``items`` (ids of found items as strings, sorted).
+    return strip
 
-    The benchmark passes through the driver a block at a time, so that only one block is ever held or broadcast; each
-    block but the last costs one more pass over the documents, cut in the shared folder.
-    """
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``n_words``, ``n_hit`` (words inside windows), ``n_longest`` (those of the longest run),
+    ``hits`` (int64 pairs: merged runs of hit words) and ``items`` (ids of found items as strings, sorted)."""
     names = [c for c in docs.columns if c not in _ROW.names]
     keep = names if keep is None else keep
-    size = F.coalesce(F.octet_length(item_text), F.lit(0))
-    bench = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"), size.alias("size"))
-    out, block, room = docs.select(names), [], block_bytes
-    for row in bench.toLocalIterator():
-        if row.size > room and block:
-            out, block, room = cut(_pass(out, block, text, n, names), "decontaminate"), [], block_bytes
-        block.append((row.id, (row.text or "").encode()))
-        room -= row.size
-    return _pass(out, block, text, n, keep)
+    rows, shared = _last(docs.select(names), benchmark, text, **options)
+    return rows.mapInArrow(_scan(text, shared, keep), T.StructType([rows.schema[c] for c in keep] + list(_ROW)))
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], text: str, n: int, names: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Windows(items, n)))
-    return docs.mapInArrow(_scan(text, shared, names), T.StructType([docs.schema[c] for c in names] + list(_ROW)))
+def _last(docs: DataFrame, benchmark: DataFrame, text: str, *, item: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+    """The documents and the broadcast windows of the last pass over them.
 
+    The benchmark passes through the driver a block at a time, so that only one block is ever held or broadcast; each
+    block but the last costs one more pass over the documents, cut in the shared folder.
+    """
+    names, size = docs.columns, F.coalesce(F.octet_length(item_text), F.lit(0))
+    bench = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text"), size.alias("size"))
+    shared = lambda block: docs.sparkSession.sparkContext.broadcast(Windows(block, n))  # noqa: E731 -- each Python worker reads it once
+    out, block = docs, Block()
+    for row in bench.toLocalIterator():
+        if block.full(row.size, block_bytes):
+            out = cut(out.mapInArrow(_scan(text, shared(block), names), T.StructType([docs.schema[c] for c in names] + list(_ROW))), "decontaminate")
+            block = Block()
+        block.add(row.id, (row.text or "").encode())
+    return out, shared(block)
 
 
 def contaminated():
@@ -160,35 +224,19 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return scan(docs, benchmark, **options).where(~contaminated()).select(docs.columns)
 
 
-def _without(text: str):
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
-            out = []
-            for value, hits in zip(texts(batch.column(text)), batch.column("hits").to_pylist(), strict=True):
-                ends = [m.span() for m in _WORD.finditer(value)] if hits else []
-                kept, at = [], 0
-                for i, j in np.frombuffer(hits or b"", np.int64).reshape(-1, 2).tolist():
-                    kept.append(value[at : ends[i][0]])
-                    at = ends[j - 1][1]
-                out.append(b"".join([*kept, value[at:]]).decode())
-            names = [c for c in batch.schema.names if c not in _ROW.names]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(c) for c in names], names=names)
-
-    return strip
-
-
-def _cut_out(scanned: DataFrame, text: str) -> DataFrame:
-    return scanned.mapInArrow(_without(text), T.StructType([f for f in scanned.schema if f.name not in _ROW.names]))
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the hit spans cut out of the texts; a null text becomes empty."""
-    return _cut_out(scan(docs, benchmark, text=text, **options), text)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", longest: int | None = None, **options) -> DataFrame:
+    """``docs`` with the hit spans cut out of the texts; a null text becomes empty. With ``longest``, contaminated documents and
+    those with so many hit words in a row go."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in _ROW.names}  # a caller's columns named like results
+    held = docs.withColumnsRenamed(aside)
+    rows, shared = _last(held, benchmark, text, **options)
+    return rows.mapInArrow(_strip(text, shared, held.columns, longest), held.schema).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """``docs`` without contaminated documents, and the others without their hit spans, from one scan; a null text becomes empty."""
-    return _cut_out(scan(docs, benchmark, text=text, **options).where(~contaminated()), text)
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, **options) -> DataFrame:
+    """``docs`` without those that hold ``n`` hit words in a row or are contaminated, and the others without their hit
+    spans (items of fewer than ``n`` words, which a clean text may have by chance), from one scan; a null text becomes empty."""
+    return remove_spans(docs, benchmark, n=n, longest=n, **options)
 
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:

@@ -26,18 +26,34 @@ def test_removal_and_empty_tables(spark):
     assert {r.doc_id for r in d.remove(docs, items).collect()} == {x[0] for x in DOCS} - bad
     cut = {r.doc_id: r.text for r in d.remove_spans(docs, items).collect()}
     assert cut[5] == "" and cut[8] == "... !!" and cut[1] == " n" and cut[10] == "é1 " "ÉÜ "
+    clash = d.remove_spans(docs.withColumnRenamed("extra", "hits"), items, block_bytes=1)
+    assert clash.columns == ["doc_id", "text", "hits"] and {r.doc_id: r.text for r in clash.collect()} == cut and {r.hits for r in clash.collect()} == {"q"}
     assert d.scan(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert d.scan(docs.limit(0), items).count() == 0
 
 
 def test_the_pipeline_leaves_no_window(spark):
-    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
-    size = len(d.words(item.encode()))
-    long = "w " * (30 * size)
-    docs = spark.createDataFrame([(1, f"{long}{item} {long}", 1), (2, item, 2), (3, long, 3)], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.unseen(spark, docs, "/root/testdata/sf0.001").collect()}
-    assert set(got) == {1, 3} and got[3] == (long, len(long)) and item not in got[1][0] and got[1][1] == len(got[1][0])
-    assert got[1][0].split().count("w") == 60 * size
+    """A whole window takes its document with it, however long that is; a shorter item alone is cut out."""
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    window = " ".join(x.decode() for x in d.words(items.orderBy("item_id").first().text.encode())[:13])
+    long = "w " * 2000
+    docs = spark.createDataFrame([(1, f"{long}{window} {long}", 1), (2, window, 2), (3, long, 3), (4, f"{long}{window.rsplit(' ', 1)[0]} {long}", 4)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.unseen(spark, docs, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {3, 4} and got[3] == (long, len(long)) and got[4][0] == docs.where("doc_id = 4").first().text
     left = spark.createDataFrame([(k, *v) for k, v in got.items()], "doc_id long, text string, n_chars long")
     assert d.scan(left, items).where("n_hit > 0").count() == 0
+    short = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert [r.text for r in d.clean(spark.createDataFrame([(1, f"{long}X, y; z! {long}"), (2, "x y z")], "doc_id long, text string"), short).collect()] == [f"{long}! {long}"]
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(d.Windows, "_hash", lambda self, ids, places, size: ids[places].astype(d.np.uint64) % d.np.uint64(3))
+    block = d.Block()
+    for item, text in ITEMS:
+        if item is not None:
+            block.add(str(item), (text or "").encode())
+    windows, want = d.Windows(block, 13), {x[0]: x for x in brute.decontaminate(DOCS, ITEMS[:4] + ITEMS[5:])}
+    for doc, text in DOCS:
+        ids = d.np.array([windows.vocabulary.get(w, 0) for w in d.words((text or "").encode())] + [0], d.np.int32)
+        hit = {p for size, at, _, _ in windows.find(ids) for i in at.tolist() for p in range(i, i + size)}
+        assert len(hit) == want[doc][2]
