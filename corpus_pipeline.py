@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through quality, near duplicates, decontamination, secrets and token ids.
 
 Each stage works on all that the one before kept; each result is written to the shared folder and read again. Documents
-that the classifier rejects, all but the smallest doc_id of each group of near duplicates, and contaminated documents
-go; benchmark windows are cut out of the texts that stay; secrets are replaced by a mark; the last stage gives ids, their number, and whether they decode to the text.
+that the classifier rejects, all but the smallest doc_id of each group of near duplicates, and documents that hold a benchmark
+window go; benchmark items too short for a window are cut out of the texts that stay; secrets are replaced by a mark; the last stage gives ids, their number, and whether they decode to the text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of whose words less than a twentieth stand in benchmark windows, without those windows."""
+    """The documents with no 13 words in a row from a benchmark item and less than a twentieth of words from shorter items, which
+    are cut out."""
     return counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
 
 
