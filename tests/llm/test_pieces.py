@@ -28,10 +28,21 @@ def test_against_the_library(spark):
 @given(st.text(alphabet=st.sampled_from(" \n▁abeinortTh.,é日\t-'9"), max_size=60))
 def test_any_text(text):
     pieces = p._pieces(PATH)
-    assert next(iter(pieces.encode([text]))) == [*pieces.library.encode(text), 2]
+    assert next(iter(pieces.encode([text]))).tolist() == [*pieces.library.encode(text), 2]
 
 
 def test_heap_and_rounds_agree():
     pieces = p._pieces(PATH)
     units = [[pieces.symbols[c] for c in w] for w in ("▁internationalisation", "▁aaaaaaaaaaaaaa", "▁the", "▁", "▁thththththt")]
-    assert pieces.together(units) == [pieces.alone(u) for u in units]
+    symbols, sizes = pieces.together(p.np.concatenate(units), p.np.array(list(map(len, units))))
+    assert [x.tolist() for x in p.np.split(symbols, p.np.cumsum(sizes)[:-1])] == [pieces.alone(u) for u in units]
+
+
+def test_other_ids_of_the_library_are_reported_and_not_taken(monkeypatch):
+    pieces = p.Pieces(PATH)
+    monkeypatch.setattr(p, "_pieces", lambda path: pieces)
+    (right, text, differs), = p.coded(PATH, ["the same"])
+    assert not differs and text == "the same"
+    pieces.known = {u: p.np.array([260], p.ID).tobytes() for u in pieces.units("the same")}
+    (ids, text, differs), = p.coded(PATH, ["the same"])
+    assert differs and ids == [260, 260, 2] and text == pieces.library.decode(ids)
