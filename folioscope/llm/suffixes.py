@@ -12,7 +12,8 @@ contexts within a chunk only the smallest document's go on; the others' removal
 runs with a loser tree that compares two suffixes only behind the prefix that both are known to share with the last
 one put out. From the merged order and its common prefixes follows, for each place of the sample within a string, which
 suffixes have equal strings there, and the smallest document among them; all strings of one sample that go make one span,
-as each covers the sample. 5. Spans return to their chunks, where the remaining bytes are digested.
+as each covers the sample. A gram with more than ``HOT`` samples isn't merged, as all of it would meet in one task: its strings
+are dealt out one by one (by 96-bit hashes), and the smallest document with each is found. 5. Spans return to their chunks, where the remaining bytes are digested.
 
 Defined results: a null text counts as empty; a null doc_id takes no part and keeps its text; documents with equal ids are
 never earlier than each other; empty tables have no rows; extra columns take no part.
@@ -34,6 +35,10 @@ LENGTH, GRAM = 50, 16
 #: Grams within a string, and so the most bytes of it left of its sample, plus one.
 PLACES = LENGTH - GRAM + 1
 STEP = 256 << 10
+#: Low bits of a hash that give way to the place, wherever a text stands: the same strings always sample the same place.
+PLACE_BITS = 24
+#: Samples of one gram that a merge takes; a more frequent gram's strings are dealt out by themselves.
+HOT = 4096
 
 _U = np.uint64
 
@@ -49,11 +54,16 @@ def sample(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n, ends = len(data), starts[1:]
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, _U)
+    if n > 1 << PLACE_BITS:  # one long document: in pieces, each string in one of them
+        size = 1 << PLACE_BITS
+        parts = [(at, *sample(data[at : at + size], np.array([0, min(size, n - at)]))) for at in range(0, n - LENGTH + 1, size - LENGTH + 1)]
+        places, first = np.unique(np.concatenate([at + p for at, p, _ in parts]), return_index=True)
+        return places, np.concatenate([h for _, _, h in parts])[first]
     word = np.concatenate([data, np.zeros(GRAM, np.uint8)]).astype(_U)
     for k in (1, 2, 4):
         word = word[:-k] | word[k:] << _U(8 * k)
     hashes = _mix(word[:n] * _U(0x9E3779B97F4A7C15) + _mix(word[8 : n + 8]))
-    bits = _U(n.bit_length())
+    bits = _U(PLACE_BITS)
     least = (hashes >> bits << bits) | np.arange(n, dtype=_U)
     width, done = 1, least
     while 2 * width <= PLACES:
@@ -69,7 +79,7 @@ def sample(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     taken = np.zeros(n, bool)
     taken[(done & ((_U(1) << bits) - _U(1))).astype(np.int64)] = True
     places = np.flatnonzero(taken)
-    return places, hashes[places]
+    return places, _mix(hashes[places])  # a sample's hash is the least of many; mixed anew, such hashes spread over all buckets
 
 
 def samples(held: Chunk, skip: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +99,7 @@ def samples(held: Chunk, skip: set[int]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _ask(buckets: int):
-    """A chunk's distinct sample hashes by bucket, and which of them several of its documents have."""
+    """A chunk's distinct sample hashes by bucket, how often it has each (up to 127), and (128) whether several documents do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, data, copies in rows_of(batches, "chunk", "data", "copies"):
@@ -101,38 +111,35 @@ def _ask(buckets: int):
             ids, hashes = held.ids[docs][order], hashes[order]
             first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
             last = np.append(first[1:], len(hashes)) - 1
-            several = ids[last] != ids[first]
+            times = (np.minimum(last - first + 1, 127) | np.where(ids[last] != ids[first], 128, 0)).astype(np.uint8)
             hashes = hashes[first]
             which = bucket_of(hashes, buckets)
             bounds = np.searchsorted(which, np.arange(buckets + 1))
-            rows = [(b, squeeze(deltas(hashes[i:j]), np.packbits(several[i:j]))) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
+            rows = [(b, squeeze(deltas(hashes[i:j]), times[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "chunk", "asked"])
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The hashes that two documents or more have, for each chunk that has them."""
-    chunks, hashes, several = table.column("chunk").to_pylist(), [], []
-    for value in table.column("asked").to_pylist():
-        gaps, bits = spread(value)
-        hashes.append(np.cumsum(gaps, dtype=_U))
-        several.append(np.unpackbits(bits, count=len(gaps)).view(bool))
-    every = np.concatenate(hashes)
-    order = np.argsort(every, kind="stable")
-    now = every[order]
-    same = now[1:] == now[:-1]
-    shared = np.zeros(len(every), bool)
-    shared[order] = np.append(False, same) | np.append(same, False)
-    shared |= np.concatenate(several)
-    at, rows = 0, []
-    for chunk, own in zip(chunks, hashes, strict=True):
-        found = own[shared[at : at + len(own)]]
-        at += len(own)
-        if len(found):
-            rows.append((chunk, squeeze(deltas(found))))
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary())})
+def _answer(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The hashes that two documents or more have, for each chunk that has them, and whether they are hot."""
+        chunks, parts = table.column("chunk").to_pylist(), [spread(v) for v in table.column("asked").to_pylist()]
+        own = [np.cumsum(p[0], dtype=_U) for p in parts]
+        _, which, chunks_with = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        times = np.concatenate([p[1] for p in parts])
+        total = np.bincount(which, weights=times & 127)[which]
+        shared = np.bincount(which, weights=times >> 7)[which] + chunks_with[which] > 1
+        at, rows = 0, []
+        for chunk, mine in zip(chunks, own, strict=True):
+            found, often = shared[at : at + len(mine)], total[at : at + len(mine)] > hot
+            at += len(mine)
+            if found.any():
+                rows.append((chunk, squeeze(deltas(mine[found]), np.packbits(often[found]))))
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
 
 
 def _spans_of(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +154,16 @@ def _runs(buckets: int):
         for chunk, data, copies, answers in rows_of(batches, "chunk", "data", "copies", "answers"):
             held = Chunk.load(data)
             docs, places, hashes = samples(held, set(copies or ()))
-            wanted = np.sort(np.concatenate([np.cumsum(spread(a)[0], dtype=_U) for a in answers]))
+            told = [spread(a) for a in answers]
+            wanted, often = np.concatenate([np.cumsum(t[0], dtype=_U) for t in told]), np.concatenate([np.unpackbits(t[1], count=len(t[0])).view(bool) for t in told])
+            order = np.argsort(wanted)
+            wanted, often = wanted[order], often[order]
             near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            docs, places, hashes = (x[wanted[near] == hashes] for x in (docs, places, hashes))
+            found = wanted[near] == hashes
+            docs, places, hashes, often = docs[found], places[found], hashes[found], often[near[found]]
+            if often.any():
+                yield from _dealt(chunk, buckets, held, docs[often], places[often])
+                docs, places, hashes = docs[~often], places[~often], hashes[~often]
             which = bucket_of(hashes, buckets)
             padded = np.concatenate([np.zeros(PLACES, np.uint8), held.data, np.zeros(LENGTH, np.uint8)])
             for b in np.unique(which).tolist():
@@ -159,6 +173,79 @@ def _runs(buckets: int):
     return run
 
 
+def _strings(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of the string at each start."""
+    padded, keys, checks = np.concatenate([data, np.zeros(8, np.uint8)]), [np.zeros(0, _U)], [np.zeros(0, np.uint32)]
+    for at in range(0, len(starts), 1 << 16):
+        rows = padded[starts[at : at + (1 << 16), None] + np.arange(-(-LENGTH // 8) * 8)]
+        rows[:, LENGTH:] = 0
+        one, two = np.zeros(len(rows), _U), np.full(len(rows), LENGTH, _U)
+        for word in rows.view(_U).T:
+            one, two = _mix(one * _U(0x9E3779B97F4A7C15) + word), _mix((two ^ word) * _U(0xD6E8FEB86659FD93))
+        keys.append(one)
+        checks.append((two >> _U(32)).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(checks)
+
+
+def _dealt(chunk: int, buckets: int, held: Chunk, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The strings about samples of hot grams, by bucket of the whole string, and the spans that are known to go.
+
+    A hot gram's suffixes would all meet in one merge, since what is around a passage differs from document to document.
+    Its strings are as many as the texts' bytes about it at most, and their keys spread over all buckets.
+    """
+    low, high = _spans_of(np.minimum(PLACES - 1, places - held.starts[docs]), np.minimum(LENGTH, held.starts[docs + 1] - places))
+    count = np.maximum(0, high - low + 1)
+    back = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    starts = np.unique(np.repeat(places, count) - back)
+    docs = np.searchsorted(held.starts, starts, side="right") - 1
+    owner, (keys, checks) = held.ids[docs], _strings(held.data, starts)
+    order = np.lexsort((starts, owner, checks, keys))
+    keys, checks, owner, docs, starts = (x[order] for x in (keys, checks, owner, docs, starts))
+    begin = starts - held.starts[docs]
+    known = owner > _least(keys, checks, owner)
+    spans = np.stack([docs[known], begin[known], begin[known] + LENGTH], 1).astype(np.int64)
+    spans = _joined(spans)
+    keys, checks, owner, docs, begin = (x[~known] for x in (keys, checks, owner, docs, begin))
+    bounds = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        i, j = bounds[b], bounds[b + 1]
+        value = squeeze(deltas(keys[i:j]), checks[i:j], owner[i:j], docs[i:j].astype(np.int32), begin[i:j].astype(np.int64), spans.ravel())
+        spans = spans[:0]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int64()), pa.array([chunk], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "chunk", "run"])
+
+
+def _least(keys: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The first owner of each sorted row's string."""
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+    return np.repeat(owner[first], np.diff(np.append(first, len(keys))))
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Overlapping or touching spans (document, start, end; all of one length) as one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    new = np.append(True, (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] > spans[:-1, 2]))
+    first = np.flatnonzero(new[: len(spans)])
+    return np.stack([spans[first, 0], spans[first, 1], spans[np.append(first[1:], len(spans)) - 1, 2]], 1) if len(spans) else spans
+
+
+def _agreed(table: pa.Table) -> pa.Table:
+    """The spans of one bucket's hot strings that a smaller document has too, by chunk."""
+    chunks, parts = table.column("chunk").to_pylist(), [spread(v) for v in table.column("run").to_pylist()]
+    keys = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
+    checks, owner = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    order = np.lexsort((owner, checks, keys))
+    gone = np.empty(len(keys), bool)
+    gone[order] = owner[order] > _least(keys[order], checks[order], owner[order])
+    at, rows = 0, []
+    for chunk, (gaps, _, _, docs, begin, known) in zip(chunks, parts, strict=True):
+        mine = gone[at : at + len(gaps)]
+        at += len(gaps)
+        spans = np.concatenate([known.reshape(-1, 3), np.stack([docs[mine], begin[mine], begin[mine] + LENGTH], 1).astype(np.int64)])
+        if len(spans):
+            rows.append((chunk, squeeze(spans[np.lexsort((spans[:, 1], spans[:, 0]))].ravel())))
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
+
+
 def _run(chunk: int, bucket: int, held: Chunk, padded: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     right = np.minimum(LENGTH, held.starts[docs + 1] - places)
     left = np.minimum(PLACES - 1, places - held.starts[docs])
@@ -257,7 +344,9 @@ def merge(runs: list[list[bytes]], commons: list[list[int]]) -> tuple[list[int],
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """The spans to remove, by chunk, from one bucket's runs."""
+    """The spans to remove, by chunk, from one bucket's runs, or from its hot strings."""
+    if table.column("bucket")[0].as_py() < 0:
+        return _agreed(table)
     chunks = table.column("chunk").to_pylist()
     parts = [spread(v) for v in table.column("run").to_pylist()]
     commons = [p[0].tolist() for p in parts]
@@ -273,15 +362,17 @@ def _merged(table: pa.Table) -> pa.Table:
         heads[np.arange(PLACES - 1) < lengths[:, None]] = np.concatenate([p[2] for p in parts])
         heads = heads[order]
         low, high = np.full(len(order), PLACES), np.full(len(order), -1)
-        seen = np.zeros(len(order), _U)
+        sideways = np.argsort(heads.view(f"S{PLACES - 1}").ravel(), kind="stable")
+        differs = heads[sideways[1:]] != heads[sideways[:-1]]
+        alike = np.append(0, np.where(differs.any(1), differs.argmax(1), PLACES))  # common left contexts, in their order
+        before = np.empty(len(order), np.int64)
         for j in range(PLACES):
-            if j:
-                seen = _mix(seen * _U(0x9E3779B97F4A7C15) + heads[:, j - 1].astype(_U) + _U(1))
             group = np.cumsum(common < LENGTH - j)  # equal to the right of the sample as far as the string goes
+            before[sideways] = np.cumsum(alike < j)  # and to the left
             fits = np.flatnonzero((left >= j) & (right >= LENGTH - j))
             if not len(fits):
                 continue
-            key = _mix(seen[fits] + group[fits].astype(_U) * _U(0xD6E8FEB86659FD93))
+            key = group[fits] * (len(order) + 1) + before[fits]
             by = np.lexsort((owner[fits], key))
             key, place = key[by], fits[by]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -327,14 +418,14 @@ def _finish(with_text: bool):
     return run
 
 
-def remove(docs: DataFrame, *, text: str = "text", with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, *, text: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (bytes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = pack(rows, "chunks")
     buckets = max(32, chunks.count())
     held = chunks.select("chunk", "data").join(later_copies(chunks), "chunk", "left")
     asked = held.mapInArrow(_ask(buckets), "bucket long, chunk long, asked binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, shared binary").groupBy("chunk").agg(F.collect_list("shared").alias("answers"))
+    answers = asked.groupBy("bucket").applyInArrow(_answer(hot), "chunk long, shared binary").groupBy("chunk").agg(F.collect_list("shared").alias("answers"))
     runs = held.join(cut(answers, "answers"), "chunk").mapInArrow(_runs(buckets), "bucket long, chunk long, run binary")
     found = runs.groupBy("bucket").applyInArrow(_merged, "chunk long, spans binary").groupBy("chunk").agg(F.collect_list("spans").alias("found"))
     schema = _RESULT + (", kept binary" if with_text else "")

@@ -12,15 +12,16 @@ def key(r):
     return tuple((x is not None, x) for x in r)
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, n_bytes string, chunk int").repartition(3)
-    got = s.remove(df).collect()
+    got = s.remove(df, **options).collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute.repeats(rows), key=key)
 
 
-def test_driver_rows(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [s.HOT, 0, 3])
+def test_driver_rows(spark, monkeypatch, hot):
     monkeypatch.setattr(chunks, "CHUNK", 60_000)
-    check(spark, duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall())
+    check(spark, duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall(), hot=hot)
 
 
 def test_odd_rows(spark, monkeypatch):
@@ -34,8 +35,26 @@ def test_odd_rows(spark, monkeypatch):
     rng.shuffle(rows)
     check(spark, rows)
     monkeypatch.setattr(chunks, "CHUNK", 300)
-    monkeypatch.setattr(s, "STEP", 100)
     check(spark, rows)
+    for hot in (0, 12):
+        check(spark, rows, hot=hot)
+
+
+def test_equal_strings_sample_the_same_place_wherever_they_stand(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 101, 6000, dtype=np.uint8)
+    places, hashes = s.sample(text, np.array([0, 6000]))
+    for i, j in ((0, 60), (100, 3000), (2500, 6000)):
+        own = s.sample(text[i:j], np.array([0, j - i]))
+        whole = [p for p in places.tolist() if i + s.PLACES <= p < j - s.LENGTH]
+        assert whole == [p + i for p in own[0].tolist() if i + s.PLACES <= p + i < j - s.LENGTH]
+    monkeypatch.setattr(s, "PLACE_BITS", 10)
+    tens = [s.sample(text[:1000], np.array([0, 1000])), s.sample(text, np.array([0, 6000]))]
+    assert [p for p in tens[1][0].tolist() if p < 900] == [p for p in tens[0][0].tolist() if p < 900]
+    covered = np.zeros(6000, bool)
+    for p in tens[1][0].tolist():
+        covered[max(0, p - s.PLACES + 1) : p + 1] = True
+    assert covered[: 6000 - s.LENGTH + 1].all()
 
 
 def test_empty(spark):
