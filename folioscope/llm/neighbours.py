@@ -3,8 +3,9 @@
 Rows are dealt by a hash of vec_id over shards of about ``SHARD`` rows, whatever the number of rows. A shard's distinct
 vectors are joined into a hierarchical graph, kept as flat neighbour arrays with a list of the ids of each vector, and
 written to the shared folder. Vectors get one more component that makes their norms equal, so that the largest inner
-product is also the nearest neighbour. Nodes come in random order and in doublings: each is linked to diverse nearest
-nodes of those so far, and full nodes keep the most diverse of their links, so that early nodes keep long ones.
+product is also the nearest neighbour. Nodes come in random order, up to ``BLOCK`` at once: each walks the graph of those so far
+with a beam of ``WIDTH``, is linked to diverse ones of those it meets (and of those that come with it), and full nodes keep
+the most diverse of their links, so that early nodes keep long ones.
 
 Queries go to every shard in blocks. A block walks the graph at once: down the levels greedily, then with a beam of
 ``BEAM`` on the lowest. Each shard's best rows, scored in double precision on the original vectors, are merged by rank.
@@ -67,23 +68,31 @@ class Graph:
         self.entry = int(line[height[line] == height.max()][0])
 
     def _level(self, nodes: np.ndarray, limit: int) -> np.ndarray:
-        links = np.full((len(self.unit), limit), -1, np.int32)
-        done = 1
+        """The links of one level. Nodes come in their order, some at once: each walks the graph of those before it."""
+        links, done = np.full((len(self.unit), limit), -1, np.int32), min(len(nodes), 2 * WIDTH)
+        self._insert(links, nodes[:done], self._near(nodes[:done], nodes[:done]), limit)
         while done < len(nodes):
-            upto = min(len(nodes), max(2 * done, 2 * WIDTH))
-            seen = nodes[:upto]
-            for at in range(done if done > 1 else 0, upto, BLOCK):
-                self._insert(links, nodes[at : min(at + BLOCK, upto)], seen, limit)
-            done = upto
+            new = nodes[done : done + min(BLOCK, max(WIDTH, done // 4))]
+            found = self._walk(links, np.full(len(new), nodes[0]), self.unit[new], WIDTH)
+            own = self._near(new, new)  # those that come at once don't stand in the graph yet
+            self._insert(links, new, np.hstack([found, own]), limit)
+            done += len(new)
         return links
 
-    def _insert(self, links: np.ndarray, new: np.ndarray, seen: np.ndarray, limit: int) -> None:
+    def _near(self, new: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Each new node's nearest of a bounded number of nodes."""
         sims = self.unit[new] @ self.unit[seen].T
         sims[new[:, None] == seen] = -np.inf
-        width = min(WIDTH, len(seen) - 1)
+        width = max(1, min(LINKS, len(seen) - 1))
         best = np.argpartition(-sims, width - 1, 1)[:, :width]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), 1, kind="stable"), 1)
-        picked = _diverse(seen[best], np.take_along_axis(sims, best, 1), self.unit, min(limit, LINKS))
+        return np.where(np.isfinite(np.take_along_axis(sims, best, 1)), seen[best], -1)
+
+    def _insert(self, links: np.ndarray, new: np.ndarray, near: np.ndarray, limit: int) -> None:
+        """Links new nodes to diverse ones of those found ``near`` them, and these back."""
+        sims = np.where(near < 0, -np.inf, np.einsum("nd,nkd->nk", self.unit[new], self.unit[near]))
+        order = np.argsort(-sims, 1, kind="stable")[:, :WIDTH]
+        near, sims = np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1)
+        picked = _diverse(near, sims, self.unit, min(limit, LINKS))
         links[new, : picked.shape[1]] = picked
         to, origin = picked.ravel(), np.repeat(new, picked.shape[1])
         origin, to = origin[to >= 0], to[to >= 0]
@@ -124,11 +133,14 @@ class Graph:
                 if not better.any():
                     break
                 at, best = np.where(better, near[np.arange(q), top], at), np.where(better, found, best)
-        links, rows = self.levels[0], np.arange(q)
-        width = min(beam, n)
+        return self._walk(self.levels[0], at, wanted, min(beam, n))
+
+    def _walk(self, links: np.ndarray, at: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
+        """For each row of ``wanted``, up to ``width`` nodes near it that a beam from ``at`` meets over ``links`` (-1 pads)."""
+        q, rows = len(wanted), np.arange(len(wanted))
         held, sims, open_ = np.full((q, width), -1, np.int64), np.full((q, width), -np.inf, np.float32), np.zeros((q, width), bool)
-        held[:, 0], sims[:, 0], open_[:, 0] = at, best, True
-        seen = np.zeros((q, n), bool)
+        held[:, 0], sims[:, 0], open_[:, 0] = at, np.einsum("qd,qd->q", wanted, self.unit[at]), True
+        seen = np.zeros((q, len(self.unit)), bool)
         seen[rows, at] = True
         live = rows
         while len(live):

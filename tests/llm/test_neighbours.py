@@ -48,3 +48,19 @@ def test_odd_rows_ties_and_copies(spark):
     assert {q: [x[:2] for x in v] for q, v in got.items()} == {q: [x[:2] for x in v] for q, v in want.items()}
     assert all(np.allclose([x[2] for x in got[q]], [x[2] for x in want[q]]) for q in want)
     assert run(spark, [(None, None)]) == {}
+
+
+def test_the_graph_is_reached_by_walking():
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(4000, 16)).astype(np.float32)
+    graph = n.Graph(np.arange(4000), data, 1)
+    seen, todo = {graph.entry}, [graph.entry]
+    while todo:
+        for x in graph.levels[0][todo.pop()].tolist():
+            if x >= 0 and x not in seen:
+                seen.add(x)
+                todo.append(x)
+    assert len(seen) > 0.99 * len(graph.unit)
+    best = np.argsort(-(data[:200] @ data.T), 1)[:, 1:11]
+    found = {i: set(o.tolist()) for i, o, _ in graph.nearest(np.arange(200), data[:200], 10, n.BEAM)}
+    assert np.mean([len(found[i] & set((b if i not in b else b[b != i]).tolist())) / 10 for i, b in enumerate(best)]) > 0.8
