@@ -145,6 +145,7 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Byte-level spelling: a byte that Latin-1 doesn't print stands as the next free character from U+0100.
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTES = {b: 256 + k for k, b in enumerate(_UNSEEN)}
+_SPACES = {chr(_BYTES[b]) for b in b" \n"}
 
 
 def _plain(text: str) -> str:
@@ -171,8 +172,34 @@ class Words:
         self.bits = max(1, (self.size - 1).bit_length())
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parted = self._parts()
+
+    def _parts(self) -> bool:
+        """Whether the shortcuts hold for this vocabulary: its normaliser lower-cases Latin-1 and makes white space a space, its
+        pre-tokenizer drops that and spells bytes as ``_BYTES`` does, its model is merges, and no token holds a letter and what
+        isn't one behind it. Otherwise whole texts go to the library."""
+        library, latin = self.library, list(map(chr, range(256)))
+        if type(library.model).__name__ != "BPE" or library.normalizer is None or library.pre_tokenizer is None:
+            return False
+        normal = all(library.normalizer.normalize_str(c) in (c.lower(), " " if c.isspace() else c.lower()) for c in latin)
+        words = [p[0] for p in library.pre_tokenizer.pre_tokenize_str("ab cd\nef  é")]
+        apart = words[:1] == ["ab"] and all(_SPACES.isdisjoint(w) or _SPACES.issuperset(w) for w in words) and "".join(words[-1:]) == "é".encode().decode("latin-1").translate(_BYTES)
+        bytes_ = {v: k for k, v in _BYTES.items()}
+        spelt = (bytes(bytes_.get(ord(c), ord(c)) for c in t).decode(errors="replace") for t in library.get_vocab(with_added_tokens=False) if all(ord(c) in bytes_ or ord(c) < 256 for c in t))
+        mixed = any(a.isalpha() and b in _MARKS for t in spelt for a, b in zip(t, t[1:]))
+        probes = ["The Cat's (pyjamas), 12 o'clock!\n\n É x", "a  b\tc", "x.y,z -- w?!", "\n", " ", "don't stop's we'll"]
+        if not (normal and apart and not mixed):
+            return False
+        self.parted = True
+        wanted = [library.encode(p, add_special_tokens=False).ids for p in probes]
+        found = [np.frombuffer(ids, self.kind).tolist() for ids in self.encode(probes)]
+        self.known = {}
+        return wanted == found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.parted:
+            code = "H" if self.kind.itemsize == 2 else "I"
+            return [array(code, found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known

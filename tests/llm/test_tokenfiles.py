@@ -34,6 +34,15 @@ def test_files_hold_what_the_library_encodes(spark):
     assert t.read(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_shortcuts_are_taken_only_where_they_hold(name):
+    path = public_tokenizers.path(name)
+    words, library = t.Words(path), Tokenizer.from_file(path)
+    assert words.parted == (name == "word_bpe_49k.json")
+    texts = [x or "" for x in TEXTS]
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize(("n", "top"), [(0, 5), (1, 2), (511, 7), (512, 50000), (5000, 300)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint16)
