@@ -10,7 +10,7 @@ from folioscope.operators import geometry as g, layout as l, ranking as r
 from .base import Tables, query
 from .texts import _HEAD, _LINES
 
-_BOX = f"(SELECT *, 72.0::DOUBLE AS x0, 100.0 + 12 * (seq % 4) AS y0, 72.0 + least(430, length(line) * 5) AS x1, 110.0 + 12 * (seq % 4) + seq % 3 AS y1 FROM {_LINES} WHERE doc_id < 300)"
+_BOX = f"(SELECT *, 72.0::DOUBLE AS x0, 100.0 + 12 * (seq % 4) AS y0, 72.0 + least(430, length(line) * 5) AS x1, 110.0 + 12 * (seq % 4) + seq % 3 AS y1 FROM {_LINES})"
 CUTS, MARGINS = [100.0, 200.0, 300.0, 400.0], [120.0, 250.0, 380.0, 480.0]
 
 
@@ -49,14 +49,14 @@ def line_pitch(x: Tables):
     return g.pitch(boxed(x))
 
 
-_REASON = "CASE WHEN n_chars < 700 THEN 'short' WHEN len(regexp_extract_all(text, '[A-Za-z]')) / CAST(length(text) AS DOUBLE) < 0.65 THEN 'few_letters' WHEN regexp_matches(left(text, 200), '\\|') THEN 'structural' WHEN len(regexp_extract_all(text, '[0-9]{4}')) / (length(text) / 1000.0) > 1 THEN 'citations' ELSE 'usable' END"
+_REASON = "CASE WHEN n_chars < 700 THEN 'short' WHEN len(regexp_extract_all(text, '[A-Za-z]')) / CAST(length(text) AS DOUBLE) < 0.65 THEN 'few_letters' WHEN regexp_matches(text, '\\|') THEN 'structural' WHEN len(regexp_extract_all(text, '[0-9]{4}')) / (length(text) / 1000.0) > 1 THEN 'citations' ELSE 'usable' END"
 
 
 def reasons(x: Tables):
     long = F.length("text")
     reason = (
         F.when(F.col("n_chars") < 700, "short").when(F.regexp_count("text", F.lit("[A-Za-z]")) / long < 0.65, "few_letters")
-        .when(F.substring("text", 1, 200).rlike(r"\|"), "structural").when(F.regexp_count("text", F.lit("[0-9]{4}")) / (long / 1000.0) > 1, "citations").otherwise("usable")
+        .when(F.col("text").rlike(r"\|"), "structural").when(F.regexp_count("text", F.lit("[0-9]{4}")) / (long / 1000.0) > 1, "citations").otherwise("usable")
     )
     return x.documents.select("doc_id", "source", reason.alias("reason"))
 
@@ -114,11 +114,11 @@ def heading_carry(x: Tables):
     return pages.select("doc_id", "page", F.concat(before, F.substring("text", 1, 40)).alias("head"))
 
 
-@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY doc_id, word HAVING count(*) >= 5")
+@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY doc_id, word")
 def word_attestation(x: Tables):
     """How often each document uses a word."""
-    words = x.documents.where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n")).where("n >= 5")
+    words = x.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @query("SELECT key, CAST(sum(value) AS BIGINT) AS total FROM (SELECT 'docs' AS key, 1 AS value FROM documents UNION ALL SELECT 'chars', n_chars FROM documents UNION ALL SELECT lang, 1 FROM documents) GROUP BY key")

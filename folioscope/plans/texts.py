@@ -125,22 +125,26 @@ def reference_like_docs(x: Tables):
 _TOKENS = "list_filter(string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 39)"
 
 
-@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents WHERE lang IN ('en', 'fr')) GROUP BY term HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term")
 def tokenise_terms(x: Tables):
     """Folded words with their uses and documents."""
-    terms = x.documents.where(F.col("lang").isin("en", "fr")).select("doc_id", F.explode(t.tokens(F.col("text"))).alias("term"))
+    terms = x.documents.select("doc_id", F.explode(t.tokens(F.col("text"))).alias("term"))
     one = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return one.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).where("n >= 20")
+    return one.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
-#: Each benchmark item's shortlist: fifty documents by an arithmetic deal, as the two sides can both make.
-_SHORT = "(SELECT b.item_id AS query_id, b.text AS question, d.doc_id, d.lang, d.text FROM benchmark b JOIN documents d ON (d.doc_id * 7 + b.item_id * 13) % 20 = 0 AND d.doc_id < 1000 WHERE b.item_id < 20)"
+#: Each benchmark item's shortlist: of all documents, the fifty that have most of its words, ties to the smaller id.
+_SHORT = f"""(WITH q AS (SELECT item_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark), w AS (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents),
+m AS (SELECT item_id, doc_id FROM q JOIN w USING (term) GROUP BY item_id, doc_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) <= 50)
+SELECT m.item_id AS query_id, b.text AS question, m.doc_id, d.lang, d.text FROM m JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))"""
 
 
 def shortlist(x: Tables):
-    b = x.benchmark.where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    d = x.documents.where("doc_id < 1000").select("doc_id", "lang", "text")
-    return d.join(F.broadcast(b), (F.col("doc_id") * 7 + F.col("query_id") * 13) % 20 == 0)
+    asked = x.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("term"))
+    held = x.documents.select("doc_id", F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("term"))
+    best = r.top(asked.join(held, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")), "n", "doc_id", 50, ["query_id"]).select("query_id", "doc_id")
+    questions = x.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return best.join(questions, "query_id").join(x.documents.select("doc_id", "lang", "text"), "doc_id")
 
 
 _BM25 = f"""(WITH s AS (SELECT query_id, doc_id, lang, {_TOKENS} AS words, list_distinct({_TOKENS.replace('text', 'question')}) AS terms FROM {_SHORT}),
@@ -183,7 +187,7 @@ def snippet_head(x: Tables):
     return x.documents.select("doc_id", t.snippet_head(F.col("text"), 120).alias("snippet"))
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 40")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def hit_documents(x: Tables):
     """Documents that hold a benchmark text, of any length and at any place."""
     return passages.holding(x.documents, x.benchmark)
@@ -220,13 +224,14 @@ def crosslingual_split(x: Tables):
     return pairs.where(F.col("lang") != asked).select("item_id", "doc_id", "lang")
 
 
-@query(f"WITH l AS (SELECT DISTINCT d.lang = 'fr' AS secret, trim(line) AS line FROM {_LINES} JOIN documents d USING (doc_id) WHERE length(trim(line)) >= 60), s AS (SELECT line FROM l WHERE secret EXCEPT SELECT line FROM l WHERE NOT secret), p AS (SELECT trim(line) AS line, doc_id FROM {_LINES} WHERE doc_id % 3 = 0) SELECT DISTINCT p.doc_id FROM p JOIN s USING (line)")
+@query(f"WITH l AS (SELECT DISTINCT d.lang = 'fr' AS secret, trim(line) AS line FROM {_LINES} JOIN documents d USING (doc_id) WHERE length(trim(line)) >= 60), s AS (SELECT line FROM l WHERE secret EXCEPT SELECT line FROM l WHERE NOT secret), p AS (SELECT trim(line) AS line, doc_id FROM {_LINES} JOIN labels USING (doc_id) WHERE quality = 1) SELECT DISTINCT p.doc_id FROM p JOIN s USING (line)")
 def leak_check_lines(x: Tables):
-    """Published documents that hold a long line which only restricted ones have."""
+    """Documents marked good that hold a long line which only restricted ones have."""
     each = l.lines(x.documents).select("doc_id", F.trim("line").alias("line")).where(F.length("line") >= 60)
     access = each.join(x.documents.select("doc_id", (F.col("lang") == "fr").alias("secret")), "doc_id")
     only = access.where("secret").select("line").distinct().join(access.where("not secret").select("line"), "line", "left_anti")
-    return each.where("doc_id % 3 = 0").join(only, "line", "left_semi").select("doc_id").distinct()
+    published = x.labels.where("quality = 1").select("doc_id").distinct()
+    return each.join(published, "doc_id", "left_semi").join(only, "line", "left_semi").select("doc_id").distinct()
 
 
 @query("SELECT kind, doc_id FROM (SELECT 'empty' AS kind, doc_id FROM documents WHERE trim(text) = '' UNION ALL SELECT 'length', doc_id FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'short', doc_id FROM documents WHERE n_chars < 40 UNION ALL SELECT 'unlabelled_key', l.doc_id FROM labels l ANTI JOIN documents d ON d.doc_id = l.doc_id)")
@@ -237,8 +242,8 @@ def chunk_invariant_violations(x: Tables):
     return kind("empty", d.where(F.trim("text") == "")).union(kind("length", d.where(F.col("n_chars") != F.length("text")))).union(kind("short", d.where("n_chars < 40"))).union(kind("unlabelled_key", x.labels.join(d, "doc_id", "left_anti")))
 
 
-_BOXES = f"(SELECT doc_id * 1000 + seq // 3 AS chunk, doc_id, seq FROM {_LINES} WHERE doc_id < 300)"
-_SECTIONS = f"(SELECT doc_id * 1000 + seq // 5 AS section, doc_id, seq FROM {_LINES} WHERE doc_id < 300 AND seq % 7 <> 3)"
+_BOXES = f"(SELECT doc_id * 1000 + seq // 3 AS chunk, doc_id, seq FROM {_LINES})"
+_SECTIONS = f"(SELECT doc_id * 1000 + seq // 5 AS section, doc_id, seq FROM {_LINES} WHERE seq % 7 <> 3)"
 
 
 @query(f"SELECT chunk, section, votes FROM (SELECT DISTINCT chunk FROM {_BOXES}) LEFT JOIN (SELECT chunk, section, count(*) AS votes FROM {_BOXES} JOIN {_SECTIONS} USING (doc_id, seq) GROUP BY chunk, section QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY count(*) DESC, section) = 1) USING (chunk)")

@@ -45,10 +45,10 @@ def quantise_int8_fixed(x: Tables):
     return x.embeddings.select("vec_id", v.quantise(F.col(E)).alias("codes"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda e: CAST(greatest(-127, least(127, floor(CAST(e AS DOUBLE) * 127 + 0.5))) AS INTEGER)) AS codes FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id, list_transform(embedding, lambda e: CAST(greatest(-127, least(127, floor(CAST(e AS DOUBLE) * 127 + 0.5))) AS INTEGER)) AS codes FROM embeddings")
 def quantise_query(x: Tables):
-    """A query's components, halves up."""
-    return queries(x).select("vec_id", v.quantise_query(F.col(E)).alias("codes"))
+    """Each vector's components as a query's, halves up."""
+    return x.embeddings.select("vec_id", v.quantise_query(F.col(E)).alias("codes"))
 
 
 _BACK = "list_transform(list_transform(CAST(embedding AS DOUBLE[]), lambda e: round_even(e / top * {n}, 0) * top / {n}), lambda e: e)"
@@ -70,10 +70,10 @@ def quantise_int4_per_vector(x: Tables):
     return x.embeddings.select("vec_id", F.round(v.dot(v.round_trip(F.col(E), 7), F.col(E)), 6).alias("likeness"))
 
 
-@query("SELECT vec_id, list_reduce(list_transform(embedding[1:60], lambda e: CAST(e > 0 AS BIGINT)), lambda a, b: a * 2 + b) AS word FROM embeddings")
+@query("SELECT vec_id, CAST(CASE WHEN word >= 9223372036854775808 THEN word - 18446744073709551616 ELSE word END AS BIGINT) AS word FROM (SELECT vec_id, list_reduce(list_transform(embedding, lambda e: CAST(e > 0 AS HUGEINT)), lambda a, b: a * 2 + b) AS word FROM embeddings)")
 def binarise_pack_u64(x: Tables):
-    """The signs of the first 60 components as one number."""
-    return x.embeddings.select("vec_id", v.pack(F.col(E), 60).alias("word"))
+    """The signs of the 64 components as one number."""
+    return x.embeddings.select("vec_id", v.pack(F.col(E)).alias("word"))
 
 
 @query("SELECT round(sum(-p * log2(p) - (1 - p) * log2(1 - p)), 6) AS bits, count(*) FILTER (WHERE least(p, 1 - p) < 0.1) AS lopsided FROM (SELECT i, greatest(1e-12, least(1 - 1e-12, avg(CAST(e > 0 AS DOUBLE)))) AS p FROM (SELECT unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)")
