@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 SCALE = 127
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)``, which may use the value in a lambda: an array of one row makes it once, not for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,8 +26,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Length one; a vector of zeros stays."""
-    size = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / size)
+    return bound(v, lambda v: bound(F.greatest(norm(v), F.lit(1e-12)), lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def narrow(v: Column, dims: int) -> Column:
@@ -42,13 +46,21 @@ def quantise_query(v: Column) -> Column:
 
 def round_trip(v: Column, levels: int = SCALE) -> Column:
     """Quantised with the vector's own scale (127 levels for 8 bits, 7 for 4), taken back, and made a unit."""
-    top = F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), F.lit(1e-12))
-    return unit(F.transform(v, lambda x: F.rint(x.cast("double") / top * levels) * top / levels))
+    back = lambda v, top: F.transform(v, lambda x: F.rint(x.cast("double") / top * levels) * top / levels)
+    return unit(bound(v, lambda v: bound(F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), F.lit(1e-12)), lambda top: back(v, top))))
 
 
 def signs(v: Column) -> Column:
     """+1 for a component above zero, else -1, as a unit vector."""
-    return F.transform(v, lambda x: F.when(x > 0, 1.0).otherwise(-1.0) / F.sqrt(F.size(v)))
+    return bound(v, lambda v: F.transform(v, lambda x: F.when(x > 0, 1.0).otherwise(-1.0) / F.sqrt(F.size(v))))
+
+
+def stored(v: Column, scheme: str) -> Column:
+    """A vector as a scheme keeps it: fp32, int8 (fixed scale), int4 (its own scale) or binary (signs)."""
+    schemes = {"fp32": lambda: v, "int8": lambda: quantise(v), "int4": lambda: round_trip(v, 7), "binary": lambda: signs(v)}
+    if scheme not in schemes:
+        raise ValueError(f"no scheme {scheme!r}; there are {sorted(schemes)}")
+    return schemes[scheme]()
 
 
 def pack(v: Column, bits: int = 64) -> Column:
@@ -58,17 +70,14 @@ def pack(v: Column, bits: int = 64) -> Column:
 
 def asymmetric(packed_signs: Column, query: Column, dims: int) -> Column:
     """A stored sign vector against an integer query: sum of plus or minus the query's components, as a cosine."""
-    total = F.aggregate(
-        F.transform(query, lambda q, i: F.when(F.getbit(packed_signs, (dims - 1 - i).cast("int")) == 1, q).otherwise(-q)),
-        F.lit(0).cast("long"), lambda s, x: s + x,
-    )
+    signed = lambda word: F.transform(query, lambda q, i: F.when(F.getbit(word, (dims - 1 - i).cast("int")) == 1, q).otherwise(-q))
+    total = F.aggregate(bound(packed_signs, signed), F.lit(0).cast("long"), lambda s, x: s + x)
     return total / (SCALE * float(np.sqrt(dims)))
 
 
 def remove_projection(q: Column, axis: Column) -> Column:
     """``q`` without its part along the unit ``axis``, made a unit again."""
-    along = dot(q, axis)
-    return unit(F.zip_with(q, axis, lambda x, n: x.cast("double") - along * n.cast("double")))
+    return unit(bound(dot(q, axis), lambda along: F.zip_with(q, axis, lambda x, n: x.cast("double") - along * n.cast("double"))))
 
 
 def mean(frame: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -77,8 +86,9 @@ def mean(frame: DataFrame, vector: str, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centre"))
 
 
-def best_pairs(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """query_id, key and score of the ``k`` best inner products for each query, exactly.
+def best_pairs(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int = 4096) -> DataFrame:
+    """query_id, key and score of the ``k`` best inner products for each query, exactly; with ``by``, of each of its values
+    (a whole number, which is a result column too).
 
     Queries go through the driver in blocks of ``block`` vectors, and one block at a time is broadcast; each Arrow batch
     of rows meets a block in one matrix product and gives its own ``k`` best, which a window merges.
@@ -86,6 +96,7 @@ def best_pairs(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_i
     from pyspark.sql import Window
 
     spark, parts, held = rows.sparkSession, [], []
+    names, kinds = ["query_id", key, "score", *([by] if by else [])], f"query_id long, {key} long, score double" + (f", {by} long" if by else "")
     source = queries.select(F.col(key).alias("query_id"), vector)
 
     def against(block_rows: list) -> DataFrame:
@@ -96,15 +107,18 @@ def best_pairs(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_i
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = batch.column(0).to_numpy()
-                scores = wanted @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1).astype(np.float64).T
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                    names=["query_id", key, "score"],
-                )
-
-        return rows.select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
+                every, matrix = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                groups = batch.column(2).to_numpy(zero_copy_only=False) if by else np.zeros(batch.num_rows, np.int64)
+                for group in np.unique(groups):
+                    own = np.flatnonzero(groups == group)
+                    keys, scores = every[own], wanted @ matrix[own].T
+                    order = np.lexsort((np.broadcast_to(keys, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                    columns = [pa.array(np.repeat(ids, order.shape[1])), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())]
+                    if by:
+                        columns.append(pa.array(np.full(order.size, group), pa.int64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return rows.select(key, vector, *([F.col(by).cast("long").alias(by)] if by else [])).mapInArrow(run, kinds)
 
     for row in source.toLocalIterator():
         held.append(row)
@@ -112,9 +126,9 @@ def best_pairs(rows: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_i
             parts.append(against(held))
             held = []
     if held or not parts:
-        parts.append(against(held) if held else spark.createDataFrame([], f"query_id long, {key} long, score double"))
+        parts.append(against(held) if held else spark.createDataFrame([], kinds))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
+    best = Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import geometry, metadata, search, star, streams, texts, vectors  # noqa: F401  each registers its queries
+from . import curation, geometry, metadata, search, star, streams, tables, texts, vectors  # noqa: F401  each registers its queries
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "rank_topk"

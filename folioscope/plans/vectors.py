@@ -114,16 +114,14 @@ def rescore_shortlist(x: Tables):
 @query(f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM ({_PAIRS}) WHERE label = qlabel) WHERE rank <= 5")
 def within_label_topk(x: Tables):
     """The nearest rows within the query's own label."""
-    q = queries(x).select(F.col("vec_id").alias("query_id"), F.col(E).alias("q"), "label")
-    pairs = x.embeddings.join(F.broadcast(q), "label").select("query_id", "vec_id", F.round(v.dot(F.col(E), F.col("q")), 9).alias("s"))
-    return r.top(pairs, "s", "vec_id", 5, ["query_id"]).select("query_id", "vec_id", "rank")
+    own = queries(x).select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("label"))
+    return v.best_pairs(x.embeddings, queries(x), 5, by="label").join(own, ["query_id", "label"]).select("query_id", "vec_id", "rank")
 
 
 @query(f"WITH p AS ({_PAIRS}), top AS (SELECT query_id, label FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY max(s) DESC, label) AS k FROM p GROUP BY query_id, label) WHERE k <= 2) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p SEMI JOIN top USING (query_id, label)) WHERE rank <= 5")
 def two_stage_topk(x: Tables):
     """The best groups first, then the best rows within them."""
-    q = F.broadcast(queries(x).select(F.col("vec_id").alias("query_id"), F.col(E).alias("q")))
-    pairs = x.embeddings.crossJoin(q).select("query_id", "label", "vec_id", F.round(v.dot(F.col(E), F.col("q")), 9).alias("s"))
+    pairs = v.best_pairs(x.embeddings, queries(x), 5, by="label").withColumn("s", F.round("score", 9)).drop("rank", "score")
     groups = r.top(pairs.groupBy("query_id", "label").agg(F.max("s").alias("s")), "s", "label", 2, ["query_id"]).select("query_id", "label")
     return r.top(pairs.join(groups, ["query_id", "label"], "left_semi"), "s", "vec_id", 5, ["query_id"]).select("query_id", "vec_id", "rank")
 

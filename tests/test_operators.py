@@ -84,3 +84,37 @@ def test_fold_is_the_loop(spark):
         assert [x.doc_id for x in got] == out
         assert {x.doc_id: x.more for x in got if x.more} == more
         assert {x.family: set(x.alternates) for x in got if x.alternates} == others
+
+
+def test_batches_stay_within_the_budget(spark):
+    """Against the greedy plan made row by row."""
+    from folioscope.operators import curation as c
+
+    def price(width):
+        return 0.06 * width + 96 * width * width / 1048576
+
+    def plan(lengths, budget, plateau):
+        out = []
+        for n in lengths:
+            wide = max(out[-1][1], n, 1) if out else 0
+            if out and out[-1][0] < plateau and (out[-1][0] + 1) * price(wide) <= budget:
+                out[-1] = (out[-1][0] + 1, wide)
+            else:
+                out.append((1, max(n, 1)))
+        return [n for n, _ in out]
+
+    cases = [[], [5], [500, 400, 30, 30, 30, 29, 2, 1, 0], [9] * 40, [1, 300, 1, 1, 250, 2] * 5, [100000, 1, 1]]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, lengths array<int>")
+    for budget, plateau in ((6.0, 8), (40.0, 64), (0.01, 64)):
+        got = df.select("k", c.plan_batches(F.col("lengths"), budget, plateau).alias("calls")).collect()
+        assert {r.k: list(r.calls) for r in got} == {k: plan(x, budget, plateau) for k, x in enumerate(cases)}
+
+
+def test_schemes_by_name(spark):
+    from folioscope.functions import vectors as v
+
+    one = spark.createDataFrame([([0.6, -0.8],)], "e array<double>")
+    got = one.select(*(v.stored(F.col("e"), s).alias(s) for s in ("fp32", "int8", "binary"))).first()
+    assert list(got.fp32) == [0.6, -0.8] and list(got.int8) == [76, -102] and got.binary[0] == -got.binary[1] > 0
+    with pytest.raises(ValueError):
+        v.stored(F.col("e"), "int3")
