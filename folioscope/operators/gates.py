@@ -82,3 +82,32 @@ def review(rows: DataFrame, decisions: DataFrame, key: str, fields: list[str]) -
 def unreviewed(rows: DataFrame, log: DataFrame, key: str, batch: int) -> DataFrame:
     """The next batch of rows without a decision, by key."""
     return rows.join(log.select(key), key, "left_anti").orderBy(key).limit(batch)
+
+
+def served(listed: DataFrame, wanted: DataFrame, allowed: str, key: str = "path") -> DataFrame:
+    """What is wrong with a served tree: ``missing`` files, and ``stray`` ones that are neither wanted nor match ``allowed``."""
+    missing = wanted.select(key).join(listed, key, "left_anti").select(key, F.lit("missing").alias("problem"))
+    stray = listed.select(key).join(wanted, key, "left_anti").where(~F.col(key).rlike(allowed)).select(key, F.lit("stray").alias("problem"))
+    return missing.unionByName(stray)
+
+
+def noted(versions: DataFrame, notes: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """Versions without notes, and bullets that lack a language; ``notes`` has version, n and language."""
+    without = versions.join(notes, "version", "left_anti").select("version", F.lit(None).cast("int").alias("n"), F.lit("no notes").alias("problem"))
+    held = notes.groupBy("version", "n").agg(F.collect_set("language").alias("_held"))
+    lacking = held.where(F.size(F.array_except(F.array(*map(F.lit, languages)), "_held")) > 0).select("version", "n", F.lit("a language is missing").alias("problem"))
+    return without.unionByName(lacking)
+
+
+def same_content(stored: DataFrame, made: DataFrame) -> bool:
+    """Whether a stored table is what would be made now, by content and not by order."""
+    from folioscope.sources.writers import content_version
+
+    return sorted(stored.columns) == sorted(made.columns) and content_version(stored) == content_version(made.select(stored.columns))
+
+
+def issuers(patterns: dict[str, str], prose: list[str]) -> list[str]:
+    """Names whose pattern matches innocent prose; tables of patterns are checked when they are read."""
+    import re
+
+    return sorted(name for name, p in patterns.items() if any(re.search(p, text) for text in prose))

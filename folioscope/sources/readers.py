@@ -80,3 +80,28 @@ def config(path: str, *sections: str) -> dict:
         raise ValueError(f"{path} has no section {', '.join(missing)}")
     return found
 
+
+CHUNKS = "array<struct<i:int,pages:array<int>,text:string,figure:boolean>>"
+
+def chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each chunk of one-document JSON files (path/*.json): file, i, pages, text, figure. A file that can't be read
+    is an error, as a document that is silently missing would be one."""
+    files = spark.read.schema(f"file string, chunks {CHUNKS}").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    named = F.assert_true(F.col("file").isNotNull(), "a chunk file names no document")
+    return files.where(named.isNull()).select("file", F.explode("chunks").alias("c")).select("file", "c.*")
+
+def bake(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks (file, i) with their unit vectors (file, i, embedding); a file whose counts differ on the two sides is an error."""
+    from folioscope.functions.vectors import unit
+
+    sides = chunks.select("file", F.lit(1).alias("a"), F.lit(0).alias("b")).union(vectors.select("file", F.lit(0), F.lit(1)))
+    counts = sides.groupBy("file").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sound = F.assert_true(F.col("a") == F.col("b"), F.concat(F.col("file"), F.lit(": "), F.col("a"), F.lit(" chunks and "), F.col("b"), F.lit(" vectors")))
+    checked = counts.where(sound.isNull()).select("file")
+    return chunks.join(vectors.withColumn("embedding", unit(F.col("embedding"))), ["file", "i"]).join(checked, "file", "left_semi")
+
+def aligned(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The vectors (file, i, embedding) that two bakes both have, as embedding and other; files of unequal counts are left out."""
+    counts = lambda d, n: d.groupBy("file").agg(F.count("*").alias(n))
+    same = counts(one, "a").join(counts(other, "b"), "file").where("a = b").select("file")
+    return one.join(other.withColumnRenamed("embedding", "other"), ["file", "i"]).join(same, "file", "left_semi")

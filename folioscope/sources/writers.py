@@ -57,3 +57,20 @@ def report(frame: DataFrame, path: str, order: str, line: str) -> None:
 def public_half(frame: DataFrame, path: str, access: str = "access", text: str = "text") -> None:
     """Open rows whole, restricted rows without their text."""
     frame.withColumn(text, F.when(F.col(access) == "open", F.col(text))).write.mode("overwrite").parquet(path)
+
+
+def json_gzip(frame: DataFrame, path: str, *order: str) -> None:
+    """One JSON row a line, gzip-compressed, range-partitioned and sorted: the same rows give the same lines in the same order."""
+    frame.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(path)
+
+
+def prune(listed: DataFrame, written: DataFrame, key: str = "file") -> DataFrame:
+    """What is there and was not written by this build; the caller deletes it."""
+    return listed.join(written.select(key), key, "left_anti")
+
+
+def projected(frame: DataFrame, path: str, columns: dict[str, str], **facts) -> None:
+    """Documents' public columns under their index names, and beside them one row of facts (tiers keep their order)."""
+    frame.select(*(F.col(c).alias(name) for c, name in columns.items())).write.mode("overwrite").parquet(f"{path}/documents")
+    one = frame.sparkSession.range(1).select(*(F.array(*map(F.lit, v)).alias(k) if isinstance(v, (list, tuple)) else F.lit(v).alias(k) for k, v in facts.items()))
+    one.write.mode("overwrite").parquet(f"{path}/facts")

@@ -48,3 +48,45 @@ def test_sinks(spark, tmp_path):
     assert [r.doc_id for r in writers.changed(df.withColumn("text", F.when(F.col("doc_id") == 2, "x").otherwise(F.col("text"))), df, "doc_id", "text").collect()] == [2]
     writers.public_half(df, f"{tmp_path}/public")
     assert {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/public").collect()} == {1: "a", 2: None}
+
+
+def test_chunk_files_and_bakes(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 1)):
+        write(tmp_path / f"{name}.json", json.dumps({"file": f"{name}.pdf", "chunks": [{"i": i, "pages": [1, i], "text": f"{name}{i}"} for i in range(n)]}))
+    chunks = readers.chunk_files(spark, f"{tmp_path}/*.json")
+    assert sorted((r.file, r.i, r.text) for r in chunks.collect()) == [("a.pdf", 0, "a0"), ("a.pdf", 1, "a1"), ("b.pdf", 0, "b0")]
+    rows = [("a.pdf", 0, [3.0, 4.0]), ("a.pdf", 1, [0.0, 2.0]), ("b.pdf", 0, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "file string, i int, embedding array<double>")
+    assert {(r.file, r.i): tuple(r.embedding) for r in readers.bake(chunks, vectors).collect()} == {("a.pdf", 0): (0.6, 0.8), ("a.pdf", 1): (0.0, 1.0), ("b.pdf", 0): (1.0, 0.0)}
+    with pytest.raises(Exception, match="2 chunks and 1 vectors"):
+        readers.bake(chunks, vectors.where("i = 0")).collect()
+    assert {(r.file, r.i) for r in readers.aligned(vectors, vectors.where("file = 'b.pdf' or i = 0")).collect()} == {("b.pdf", 0)}
+    write(tmp_path / "c.json", "{not json")
+    with pytest.raises(Exception):
+        readers.chunk_files(spark, f"{tmp_path}/*.json").collect()
+
+
+def test_pruning_and_projection(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"f{i}") for i in range(20)], "doc_id long, file string")
+    lines = []
+    for k, rows in enumerate((df, df.orderBy(F.desc("doc_id")).repartition(3))):
+        writers.json_gzip(rows, f"{tmp_path}/j{k}", "doc_id")
+        lines.append([r.value for r in spark.read.text(f"{tmp_path}/j{k}").collect()])
+    assert sorted(lines[0]) == sorted(lines[1]) and len(lines[0]) == 20 and list((tmp_path / "j0").glob("*.json.gz"))
+    assert {r.file for r in writers.prune(df, df.where("doc_id < 18")).collect()} == {"f18", "f19"}
+    writers.projected(df, f"{tmp_path}/index", {"doc_id": "id", "file": "name"}, tiers=["strict", "family", "a"], separator=";")
+    facts = spark.read.parquet(f"{tmp_path}/index/facts").first()
+    assert spark.read.parquet(f"{tmp_path}/index/documents").columns == ["id", "name"] and list(facts.tiers) == ["strict", "family", "a"] and facts.separator == ";"
+
+
+def test_served_trees_notes_and_content(spark):
+    from folioscope.operators import gates
+
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    got = gates.served(paths("a", "b", "x.map"), paths("a", "c"), r"\.map$").collect()
+    assert sorted(map(tuple, got)) == [("b", "stray"), ("c", "missing")]
+    versions = spark.createDataFrame([("1.0",), ("2.0",)], "version string")
+    notes = spark.createDataFrame([("1.0", 1, "en"), ("1.0", 1, "fr"), ("1.0", 2, "en")], "version string, n int, language string")
+    assert sorted(map(tuple, gates.noted(versions, notes, ("en", "fr")).collect()), key=str) == [("1.0", 2, "a language is missing"), ("2.0", None, "no notes")]
+    assert gates.same_content(versions, versions.orderBy(F.desc("version"))) and not gates.same_content(versions, versions.limit(1))
+    assert gates.issuers({"who": "W.O", "any": "."}, ["plain prose"]) == ["any"]
