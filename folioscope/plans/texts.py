@@ -279,15 +279,24 @@ def concurrency_high_water(x: Tables):
     """The most requests at once in each queue, each lasting half an hour."""
     e = x.events.select((F.col("user_id") % 10).alias("queue"), F.col("ts").alias("at"), F.lit(1).alias("d"))
     ends = x.events.select((F.col("user_id") % 10).alias("queue"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"), F.lit(-1).alias("d"))
-    w = Window.partitionBy("queue").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return e.union(ends).withColumn("depth", F.sum("d").over(w)).groupBy("queue").agg(F.max("depth").alias("high"))
+    moves = e.union(ends).withColumn("hour", F.date_trunc("hour", "at"))
+    # A queue's moves are summed by hour first, so that no task walks all of a queue.
+    sums = moves.groupBy("queue", "hour").agg(F.sum("d").alias("d"))
+    before = sums.select("queue", "hour", (F.sum("d").over(Window.partitionBy("queue").orderBy("hour")) - F.col("d")).alias("before"))
+    w = Window.partitionBy("queue", "hour").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
+    inside = moves.withColumn("depth", F.sum("d").over(w)).groupBy("queue", "hour").agg(F.max("depth").alias("depth"))
+    return inside.join(before, ["queue", "hour"]).groupBy("queue").agg(F.max(F.col("before") + F.col("depth")).alias("high"))
 
 
 @query("SELECT event_type, count(*) AS n, s[len(s) // 2 + 1] AS p50, s[CAST(floor(len(s) * 0.95) AS BIGINT) + 1] AS p95, s[-1] AS most FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY event_type) GROUP BY event_type, s".replace("count(*) AS n", "len(s) AS n"))
 def latency_percentiles(x: Tables):
     """Values at fixed places of the sorted order, by type, from counts of each value."""
+    counts = x.events.groupBy("event_type", "value").agg(F.count("*").alias("c")).withColumn("near", F.floor("value"))
+    # Running counts are made within whole values first, so that no task walks all values of a type.
+    sums = counts.groupBy("event_type", "near").agg(F.sum("c").alias("c"))
     by = Window.partitionBy("event_type")
-    counts = x.events.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("upto", F.sum("c").over(by.orderBy("value"))).withColumn("n", F.sum("c").over(by))
+    before = sums.select("event_type", "near", (F.sum("c").over(by.orderBy("near")) - F.col("c")).alias("before"), F.sum("c").over(by).alias("n"))
+    inside = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type", "near").orderBy("value")))
+    ranked = inside.join(before, ["event_type", "near"]).withColumn("upto", F.col("upto") + F.col("before"))
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("value")))
     return ranked.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
