@@ -13,9 +13,11 @@ first in the order. 2. Each document gives its size, its set's digest, its share
 its prefix for l = 1; documents with equal sets become one class. 3. Classes that share a prefix element are tied to the
 element's smallest class, and the ties' components are the candidate groups: linked documents are always in one group.
 Only a document most of whose shingles are shared has shared ones in its prefix. 4. A group is a unit; a large one is cut
-into blocks, each pair of blocks being one. A unit counts matches over the adaptive prefixes, verifies candidates that
-aren't connected yet on their whole sets, and gives a spanning forest of its links. 5. The components of the forests and
-of the copies' ties to their class are the result. No pair within a group is emitted but forest edges.
+into blocks, each a unit with ``PIVOTS`` classes of the group, by which near copies of one text come together. A unit counts
+matches over the adaptive prefixes, verifies candidates that aren't connected yet on their whole sets, and gives a spanning
+forest of its links. What the units of a large group leave apart is compared block with block, but never within one component.
+5. The components of the forests and of the copies' ties to their class are the result. No pair within a group is emitted but
+forest edges.
 
 Defined results: a null or empty text and one of white space alone has size 0, links with nothing and is its own
 component; a null id has a null component; rows with equal ids are one document, each text of which may link; extra
@@ -41,6 +43,10 @@ SHINGLE, PERCENT = 5, 80
 SPARE = 13
 #: A unit's blocks: most classes and shingles of one, before a group is cut into more.
 BLOCK, BLOCK_SHINGLES = 768, 400_000
+#: Classes of a large group that all its blocks meet: of each of so many hash values the one of smallest id.
+PIVOTS = 32
+#: Parts that a large group's rows are dealt in before it has blocks.
+SALTS = 64
 #: Words whose hashes a task keeps.
 KEPT = 200_000
 #: Cost of one verification in list entries scanned.
@@ -172,9 +178,9 @@ def _forest(size: int):
     return parent, root
 
 
-def linked(ids: list[int], sizes: np.ndarray, lists: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def linked(ids: list[int], sizes: np.ndarray, lists: list[np.ndarray], sides: np.ndarray | None, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets of ``sizes`` with their shared elements in order; with ``sides``, among
-    pairs of different sides alone."""
+    pairs of different sides alone. Sets with one number in ``known`` are connected already."""
     m = len(lists)
     held = np.array([len(s) for s in lists])
     sets = [np.sort(s) for s in lists]
@@ -189,6 +195,8 @@ def linked(ids: list[int], sizes: np.ndarray, lists: list[np.ndarray], sides: np
     by = inside[np.argsort(element[inside], kind="stable")]
     bounds = np.searchsorted(element[by], np.arange(len(freq) + 1))
     parent, root = _forest(m)
+    if known is not None:
+        parent[:] = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]].tolist()
     out = []
     for x in range(m):
         mine = inside[np.searchsorted(inside, starts[x]) : np.searchsorted(inside, starts[x + 1])]
@@ -202,6 +210,8 @@ def linked(ids: list[int], sizes: np.ndarray, lists: list[np.ndarray], sides: np
         fits &= 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
         if sides is not None:
             fits &= sides != sides[x]
+        if known is not None:
+            fits &= known != known[x]
         for y in np.flatnonzero(fits).tolist():
             a, b = root(x), root(y)
             if a == b:
@@ -220,16 +230,60 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _unit(percent: int):
+    """The links within a block and with its group's pivots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(table.column("doc_id").to_numpy(), return_index=True)  # a pivot may be of the block itself
+        table = table.take(pa.array(first))
+        lists = [np.frombuffer(b, _U) for b in table.column("shared").to_pylist()]
+        return _edges(linked(ids.tolist(), table.column("n_shingles").to_numpy(), lists, None, percent))
+
+    return run
+
+
+def _across(percent: int):
+    """The links between two blocks, or within one of small components, that connect what isn't connected yet."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, sides = table.column("doc_id").to_pylist(), table.column("block").to_numpy()
         lists = [np.frombuffer(b, _U) for b in table.column("shared").to_pylist()]
         whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        edges = linked(ids, table.column("n_shingles").to_numpy(), lists, None if whole else sides, percent)
-        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+        sides = None if whole else table.column("bid").to_numpy()
+        return _edges(linked(table.column("doc_id").to_pylist(), table.column("n_shingles").to_numpy(), lists, sides, percent, table.column("comp").to_numpy()))
 
     return run
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([e[0] for e in found], pa.int64()), "v": pa.array([e[1] for e in found], pa.int64())})
+
+
+def _parts(count, shingles_):
+    """Blocks that so many classes with so many shingles are cut into."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles_ / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _residual(large: DataFrame, first: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The links of large groups between classes that the ``first`` links don't connect.
+
+    A component beyond a block's size is cut into blocks of its own; smaller ones are packed. Pairs of blocks of one component
+    are never compared, so a group that the first links connect costs nothing more.
+    """
+    comps = components(first.join(large.select(F.col("doc_id").alias("u")), "u", "left_semi")).withColumnRenamed("node", "doc_id").withColumnRenamed("root", "comp")
+    placed = large.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    sizes = cut(placed.groupBy("root", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")), "jaccard-components")
+    open_ = sizes.groupBy("root").agg(F.count("*").alias("k"), _parts(F.sum(F.when(F.col("n") <= BLOCK, F.col("n"))), F.sum(F.when(F.col("n") <= BLOCK, F.col("s")))).alias("packs")).where("k > 1").drop("k")
+    own = sizes.join(open_, "root").select("root", "comp", "packs", (F.col("n") > BLOCK).alias("big"), _parts(F.col("n"), F.col("s")).alias("parts"))
+    dealt = placed.select("doc_id", "digest", "root", "comp").join(own, ["root", "comp"])
+    place = F.when(F.col("big"), F.xxhash64("comp", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("packs")))
+    dealt = cut(dealt.select("doc_id", "digest", "root", "comp", "big", place.alias("bid")), "jaccard-dealt")
+    blocks = dealt.groupBy("root", "bid").agg(F.max(F.when(F.col("big"), F.col("comp"))).alias("of"))
+    a, b = blocks.select("root", F.col("bid").alias("i"), F.col("of").alias("x")), blocks.select("root", F.col("bid").alias("j"), F.col("of").alias("y"))
+    pairs = a.join(b, "root").where("(i < j AND NOT coalesce(x = y, false)) OR (i = j AND x IS NULL)").select("root", "i", "j")
+    each = pairs.select("root", F.explode(F.array_distinct(F.array("i", "j"))).alias("bid"), "i", "j")
+    held = dealt.join(each, ["root", "bid"]).join(classes.where("shared is not null").select("digest", "n_shingles", "shared"), "digest")
+    return held.select("root", "i", "j", "bid", "comp", "doc_id", "n_shingles", "shared").groupBy("root", "i", "j").applyInArrow(_across(percent), "u long, v long")
+
+
 def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -247,12 +301,19 @@ def join(docs: DataFrame, *, text: str = "text", n: int = SHINGLE, percent: int
     ties = elements.join(shown, "element").where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     groups = components(ties)
     members = classes.select("doc_id", "digest", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "root").select("digest", "root", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("digest", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # Only large groups have rows to join, once for each salt, so that the rows of one don't meet in a task.
+    many_blocks = members.groupBy("root").agg(_parts(F.count("*"), F.sum("n_shingles")).alias("blocks")).where("blocks > 1")
+    salted = many_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SALTS)).cast("int"))
+    dealt = salts.join(salted, ["root", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = dealt.where("blocks > 1")
+    pivots = large.groupBy("root", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS))).agg(F.min(F.struct("doc_id", "digest", "blocks")).alias("p")).select("root", "p.digest", "p.blocks")
+    units = dealt.select("digest", "root", "block").unionByName(pivots.select("digest", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
     held = units.join(classes.where("shared is not null").select("digest", "doc_id", "n_shingles", "shared"), "digest")
-    links = held.groupBy("root", "i", "j").applyInArrow(_unit(percent), "u long, v long")
+    links = cut(held.groupBy("root", "block").applyInArrow(_unit(percent), "u long, v long"), "jaccard-links")
+    large = cut(large.select("doc_id", "digest", "root", "n_shingles"), "jaccard-large")
+    if not large.isEmpty():
+        links = links.union(_residual(large, links, classes, percent))
     copies = described.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id <> least")
     roots = components(links.union(copies.select("doc_id", "least"))).withColumnRenamed("node", "doc_id")
     out = described.select("doc_id", "n_shingles").join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
