@@ -7,7 +7,7 @@ sampled, and equal strings sample the same place, so equal strings meet at a sam
 1. Texts are packed into chunks, written to the shared folder. Exact copies of an earlier document are known by digest
 and sampled no more. 2. Each chunk gives the distinct hashes of its samples to their bucket, which answers with those
 that another document has. 3. Each chunk sorts the suffixes of these samples, cut to ``LENGTH`` bytes, into one run per
-bucket, front-coded: the prefix shared with the suffix before is a number. The text left of each is payload. Of equal
+bucket, those of many buckets at once, front-coded: the prefix shared with the suffix before is a number. The text left of each is payload. Of equal
 contexts within a chunk only the smallest document's go on; the others' removal is known already. 4. A bucket merges its
 runs with a loser tree that compares two suffixes only behind the prefix that both are known to share with the last
 one put out. From the merged order and its common prefixes follows, for each place of the sample within a string, which
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import chunks as packed
 from .chunks import Chunk, bucket_of, deltas, later_copies, pack, rows_of, spread, squeeze
 from .common import cut
 
@@ -39,6 +40,11 @@ STEP = 256 << 10
 PLACE_BITS = 24
 #: Samples of one gram that a merge takes; a more frequent gram's strings are dealt out by themselves.
 HOT = 4096
+#: Packed chunks that make one here, and a bucket's share of them. Each chunk writes to each bucket, so cells grow with the
+#: square of the table; with four times the bytes they are a sixteenth.
+WIDE = 4
+#: Samples whose suffixes a chunk sorts at a time, for as many buckets as they are in; a bucket of more is sorted whole.
+SORTED = 1 << 15
 
 _U = np.uint64
 
@@ -165,10 +171,13 @@ def _runs(buckets: int):
                 yield from _dealt(chunk, buckets, held, docs[often], places[often])
                 docs, places, hashes = docs[~often], places[~often], hashes[~often]
             which = bucket_of(hashes, buckets)
-            padded = np.concatenate([np.zeros(PLACES, np.uint8), held.data, np.zeros(LENGTH, np.uint8)])
-            for b in np.unique(which).tolist():
-                at = which == b
-                yield _run(chunk, b, held, padded, docs[at], places[at])
+            order = np.argsort(which, kind="stable")
+            which, docs, places = which[order], docs[order], places[order]
+            padded, i = np.concatenate([np.zeros(PLACES, np.uint8), held.data, np.zeros(LENGTH, np.uint8)]), 0
+            while i < len(which):
+                j = int(np.searchsorted(which, which[min(i + SORTED, len(which)) - 1], side="right"))
+                yield _sorted(chunk, which[i:j], held, padded, docs[i:j], places[i:j])
+                i = j
 
     return run
 
@@ -246,7 +255,8 @@ def _agreed(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _run(chunk: int, bucket: int, held: Chunk, padded: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _sorted(chunk: int, which: np.ndarray, held: Chunk, padded: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """The runs of the buckets in ``which`` (ascending), sorted at once: arrays for each of many small runs take most of the time."""
     right = np.minimum(LENGTH, held.starts[docs + 1] - places)
     left = np.minimum(PLACES - 1, places - held.starts[docs])
     rows = padded[places[:, None] + np.arange(-(PLACES - 1), LENGTH) + PLACES]
@@ -255,8 +265,8 @@ def _run(chunk: int, bucket: int, held: Chunk, padded: np.ndarray, docs: np.ndar
     tails = np.ascontiguousarray(rows[:, PLACES - 1 :])
     heads = np.ascontiguousarray(rows[:, : PLACES - 1][:, ::-1])
     owner = held.ids[docs]
-    order = np.lexsort((owner, left, heads.view(f"S{PLACES - 1}").ravel(), right, tails.view(f"S{LENGTH}").ravel()))
-    tails, heads, owner, docs, places, left, right = (x[order] for x in (tails, heads, owner, docs, places, left, right))
+    order = np.lexsort((owner, left, heads.view(f"S{PLACES - 1}").ravel(), right, tails.view(f"S{LENGTH}").ravel(), which))
+    tails, heads, owner, docs, places, left, right, which = (x[order] for x in (tails, heads, owner, docs, places, left, right, which))
     new = np.append(True, (tails[1:] != tails[:-1]).any(1) | (heads[1:] != heads[:-1]).any(1) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
     least = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
     known = owner > least
@@ -264,15 +274,21 @@ def _run(chunk: int, bucket: int, held: Chunk, padded: np.ndarray, docs: np.ndar
     gone = known & (low <= high)
     begin = places - held.starts[docs]
     spans = np.stack([docs[gone], (begin - high)[gone], (begin - low + LENGTH)[gone]], 1).astype(np.int64)
-    tails, heads, owner, docs, begin, left, right = (x[~known] for x in (tails, heads, owner, docs, begin, left, right))
+    tails, heads, owner, docs, begin, left, right, which = (x[~known] for x in (tails, heads, owner, docs, begin, left, right, which))
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
     common = np.zeros(len(tails), np.int64)
-    if len(tails) > 1:
-        differs = tails[1:] != tails[:-1]
-        common[1:] = np.where(differs.any(1), differs.argmax(1), LENGTH)
+    differs = tails[1:] != tails[:-1]
+    common[1:] = np.where(differs.any(1), differs.argmax(1), LENGTH)
+    common[first] = 0
     rest = tails[np.arange(LENGTH) >= common[:, None]]
     before = heads[np.arange(PLACES - 1) < left[:, None]]
-    value = squeeze(common.astype(np.uint8), rest, before, left.astype(np.uint8), right.astype(np.uint8), owner, docs.astype(np.int32), begin.astype(np.int64), spans.ravel())
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([chunk], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "chunk", "run"])
+    ends = [np.append(x[first], x[-1]).tolist() for x in (np.arange(len(tails) + 1), np.append(0, np.cumsum(LENGTH - common)), np.append(0, np.cumsum(left)))]
+    common, left, right, docs, begin, spans = common.astype(np.uint8), left.astype(np.uint8), right.astype(np.uint8), docs.astype(np.int32), begin.astype(np.int64), spans.ravel()
+    values = []
+    for i, j, r, to, b, end in zip(ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:], ends[2][:-1], ends[2][1:], strict=True):
+        values.append(squeeze(common[i:j], rest[r:to], before[b:end], left[i:j], right[i:j], owner[i:j], docs[i:j], begin[i:j], spans))
+        spans = spans[:0]
+    return pa.RecordBatch.from_arrays([pa.array(which[first], pa.int64()), pa.array([chunk] * len(values), pa.int64()), pa.array(values, pa.binary())], names=["bucket", "chunk", "run"])
 
 
 def unfold(common: list[int], rest: bytes) -> list[bytes]:
@@ -380,9 +396,11 @@ def _merged(table: pa.Table) -> pa.Table:
             gone = place[owner[place] > least]
             high[gone] = j
             low[gone] = np.minimum(low[gone], j)
-        gone = high >= 0
+        gone = np.flatnonzero(high >= 0)
+        gone = gone[np.argsort(source[gone], kind="stable")]
         spans = np.stack([docs[gone], (begin - high)[gone], (begin - low + LENGTH)[gone]], 1).astype(np.int64)
-        out = [np.concatenate([known, spans[source[gone] == k]]) for k, known in enumerate(out)]
+        bounds = np.searchsorted(source[gone], np.arange(len(parts) + 1)).tolist()
+        out = [np.concatenate([known, spans[i:j]]) for known, i, j in zip(out, bounds[:-1], bounds[1:], strict=True)]
     rows = [(c, squeeze(s.ravel())) for c, s in zip(chunks, out, strict=True) if len(s)]
     return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -421,7 +439,7 @@ def _finish(with_text: bool):
 def remove(docs: DataFrame, *, text: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (bytes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chunks = pack(rows, "chunks")
+    chunks = pack(rows, "chunks", WIDE * packed.CHUNK)
     buckets = max(32, chunks.count())
     held = chunks.select("chunk", "data").join(later_copies(chunks), "chunk", "left")
     asked = held.mapInArrow(_ask(buckets), "bucket long, chunk long, asked binary")

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from folioscope.llm import chunks, suffixes as s
 
@@ -73,3 +74,39 @@ def test_loser_tree(k):
     flat = [x for r in runs for x in r]
     out = [flat[i] for i in order]
     assert out == sorted(flat) and common == [0 if not i else shared(out[i - 1], out[i]) for i in range(len(out))]
+
+
+def test_a_chunk_sorts_many_buckets_at_once(monkeypatch):
+    rng, buckets = random.Random(4), 500
+    word = lambda n: "".join(rng.choices("abcd ", k=n))
+    passages = [word(200) for _ in range(60)]
+    rows = [(i, word(30) + "".join(rng.sample(passages, 4)) + word(30)) for i in range(80)]
+    data = pa.array([chunks.Chunk.dump([i for i, _ in rows], [t.encode() for _, t in rows])], pa.binary())
+    one, none = pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.int64()))
+    asked = pa.Table.from_batches(s._ask(buckets)(iter([pa.RecordBatch.from_arrays([one, data, none], names=["chunk", "data", "copies"])])))
+    answers = [v for b in range(asked.num_rows) for v in s._answer(s.HOT)(asked.slice(b, 1)).column("shared").to_pylist()]
+    held = pa.RecordBatch.from_arrays([one, data, none, pa.array([answers], pa.list_(pa.binary()))], names=["chunk", "data", "copies", "answers"])
+
+    def removed(runs):
+        spans = [np.zeros(0, np.int64)]
+        for b in range(runs.num_rows):
+            spans += [chunks.spread(v)[0] for v in s._merged(runs.slice(b, 1)).column("spans").to_pylist()]
+        gone = {(doc, at) for doc, i, j in np.concatenate(spans).reshape(-1, 3).tolist() for at in range(i, j)}
+        return [sum(doc == i for doc, _ in gone) for i, _ in rows]
+
+    whole = list(s._runs(buckets)(iter([held])))
+    assert len(whole) == 1 and whole[0].num_rows > 250
+    monkeypatch.setattr(s, "SORTED", 1)
+    each = list(s._runs(buckets)(iter([held])))
+    assert len(each) == whole[0].num_rows
+    cells = [[a.tolist() for v in pa.Table.from_batches(x).column("run").to_pylist() for a in chunks.spread(v)[:8]] for x in (whole, each)]
+    assert cells[0] == cells[1]
+    assert removed(pa.Table.from_batches(whole)) == removed(pa.Table.from_batches(each)) == [r[2] for r in sorted(brute.repeats(rows))]
+
+
+def test_chunks_are_wide(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK", 1000)
+    made = []
+    monkeypatch.setattr(s, "pack", lambda *given: made.append(chunks.pack(*given)) or made[0])
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(400)], "doc_id long, text string").coalesce(1)
+    assert s.remove(df).agg({"n_removed": "sum"}).first()[0] == 39_900 and made[0].count() == 10  # 40 before
