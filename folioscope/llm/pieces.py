@@ -6,8 +6,9 @@ byte has a line feed, so a text falls into units (a run of spaces with the word
 behind it) that no merge crosses. The agendas of an Arrow batch's new units advance together, one merge of each per
 round; a unit of more than ``LONG`` symbols has a heap of its own. Encoded units are kept, up to a bounded number.
 
-Each batch is checked against the sentencepiece library, text by text. The agenda's ids are the result in any case;
-``differs`` says where the library has others, so that a caller can refuse them.
+Each text is checked against the sentencepiece library: that it reads the same characters of the whole text, and, as no merge
+crosses units, that it has the same ids for each unit; it encodes a unit once as long as that is kept. The agenda's ids are
+the result in any case; ``differs`` says where the library has others, so that a caller can refuse them.
 
 Defined results: a null or empty text is the end id alone and decodes to an empty text; repeated rows each get their own
 result; extra columns pass through, and those named like results are replaced.
@@ -21,6 +22,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,10 @@ class Pieces:
         self.table[ord(SPACE)] = self.table[ord(" ")] = self._symbol(SPACE)  # within a unit a space is one of the text's
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: The library's ids of units, in two generations as well, and how many stand for the space it puts before a text.
+        self.right: dict[str, bytes] = {}
+        self.old_right: dict[str, bytes] = {}
+        self.lead = len(sp.encode("\n")) - 1
         self.decimal = [str(i) for i in range(size)]
 
     def _symbol(self, text: str) -> int | None:
@@ -231,7 +237,10 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each text's ids, with the end id."""
-        cut = [self.units(t) for t in texts]
+        return self.ids_of([self.units(t) for t in texts])
+
+    def ids_of(self, cut: list[list[str]]) -> Iterator[np.ndarray]:
+        """The ids of texts that are cut into units, with the end id."""
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known
         new = self._recalled(set().union(*cut).difference(self.known))
@@ -251,6 +260,29 @@ class Pieces:
         for units in cut:
             yield np.frombuffer(b"".join([*map(get, units), end]), ID)
 
+    def differing(self, texts: list[str], cut: list[list[str]]) -> Iterator[bool]:
+        """Whether the library reads other characters of a text, or has other ids for its units than ``ids_of`` just gave."""
+        if len(self.right) > KEPT:
+            self.right, self.old_right = {}, self.right
+        every = set().union(*cut)
+        new = every.difference(self.right)
+        if both := new.intersection(self.old_right):
+            self.right.update(zip(both, map(self.old_right.__getitem__, both), strict=True))
+            new = new.difference(both)
+        if new:
+            units = list(new)
+            found = self.library.encode([u[1:] if u[:2] == "  " else u or "\n" for u in units], num_threads=1)
+            found = [ids[self.lead :] if u[:1] == "\n" else ids if u else ids[: self.lead] for u, ids in zip(units, found, strict=True)]
+            flat, at = np.fromiter(chain.from_iterable(found), ID).tobytes(), 0
+            for unit, ids in zip(units, found, strict=True):
+                value, own = flat[at : at + len(ids) * ID.itemsize], self.known[unit]
+                self.right[unit] = own if own == value else value  # kept once
+                at += len(value)
+        units = list(every)
+        wrong = {u for u, own, right in zip(units, map(self.known.__getitem__, units), map(self.right.__getitem__, units), strict=True) if own != right}
+        for text, units, read in zip(texts, cut, self.library.normalize(texts), strict=True):
+            yield read != (SPACE + text.replace(" ", SPACE) if text else "") or bool(wrong) and not wrong.isdisjoint(units)
+
     def spell(self, ids: list[int]) -> str:
         return " ".join(map(self.decimal.__getitem__, ids))
 
@@ -263,12 +295,10 @@ def _pieces(path: str) -> Pieces:
 def coded(path: str, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
     """(ids, the decoded text, whether the library has other ids) of each text."""
     pieces = _pieces(path)
-    own = [ids.tolist() for ids in pieces.encode(texts)]
-    library = pieces.library.encode(texts, num_threads=1)
+    cut = [pieces.units(t) for t in texts]
+    own = [ids.tolist() for ids in pieces.ids_of(cut)]
     decoded = pieces.library.decode(own, num_threads=1)
-    for ids, right, text in zip(own, library, decoded, strict=True):
-        right.append(pieces.end)
-        yield ids, text, ids != right
+    yield from zip(own, decoded, pieces.differing(texts, cut), strict=True)
 
 
 def _run(text: str, keep: list[str], path: str, digests: bool):

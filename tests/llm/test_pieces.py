@@ -46,3 +46,47 @@ def test_other_ids_of_the_library_are_reported_and_not_taken(monkeypatch):
     pieces.known = {u: p.np.array([260], p.ID).tobytes() for u in pieces.units("the same")}
     (ids, text, differs), = p.coded(PATH, ["the same"])
     assert differs and ids == [260, 260, 2] and text == pieces.library.decode(ids)
+
+
+def test_the_library_encodes_each_unit_once(monkeypatch):
+    pieces, seen = p.Pieces(PATH), []
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode(self, texts, **options):
+            seen.extend(texts)
+            return library.encode(texts, **options)
+
+    library, pieces.library = pieces.library, Library()
+    monkeypatch.setattr(p, "_pieces", lambda path: pieces)
+    texts = [t or "" for t in TEXTS]
+    for _ in range(2):
+        for text, (ids, decoded, differs) in zip(texts, p.coded(PATH, texts), strict=True):
+            assert not differs and ids == [*library.encode(text), 2] and decoded == library.decode(ids)
+    assert len(seen) == len(set().union(*map(pieces.units, texts)))  # whole texts, and twice, before
+    monkeypatch.setattr(p, "KEPT", 3)
+    for text in texts * 2:
+        assert [d for _, _, d in p.coded(PATH, [text])] == [False]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n▁abeinortTh.,é日\t-'9"), max_size=60))
+def test_no_text_differs(text):
+    assert [d for _, _, d in p.coded(PATH, [text])] == [False]
+
+
+def test_texts_that_the_library_reads_otherwise_differ(monkeypatch):
+    pieces = p.Pieces(PATH)
+    monkeypatch.setattr(p, "_pieces", lambda path: pieces)
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def normalize(self, texts):
+            return [t.replace("A", "a") for t in library.normalize(texts)]
+
+    library, pieces.library = pieces.library, Library()
+    assert [d for _, _, d in p.coded(PATH, ["the A", "the a"])] == [True, False]
