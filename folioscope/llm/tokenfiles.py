@@ -2,7 +2,8 @@
 
 Documents are dealt over range partitions in ascending doc_id order and encoded with the tokenizers library. White space
 ends every token of these vocabularies' pre-tokenizers, so distinct words are encoded once and kept, up to a bounded
-number; lower-casing, which their normaliser does anyway, and parting the marks at a word's end make fewer of them. A shard holds the ids of consecutive documents as bit-planes from the highest bit down, each plane's sequence
+number; lower-casing, which their normaliser does anyway, and parting the marks at a word's end make fewer of them. Arrow finds
+a step's distinct words and puts their ids in the texts' order, so that Python meets each of them once a step. A shard holds the ids of consecutive documents as bit-planes from the highest bit down, each plane's sequence
 stably parted by the bit above; planes carry counts of ones by block, so that a token's value, its count in a range and
 its k-th place can be read from the shard without unfolding it. Shards are rows of a Parquet table that Spark commits:
 a lost executor's part is written again by another.
@@ -14,6 +15,7 @@ of their texts; an empty table gives an empty folder of shards; extra columns ta
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from array import array
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,8 @@ from .common import steps
 MAGIC = b"WMX1"
 #: Tokens from which a shard is closed, and bits that one rank count covers.
 SHARD, BLOCK = 1 << 20, 512
+#: Tokens whose places are worked on at once, so that they stay in a core's cache.
+PLACES = 1 << 14
 #: Words a worker keeps in each of two generations.
 KEPT = 400_000
 
@@ -48,14 +53,14 @@ class Shard:
         planes, counts, zeros = np.zeros((bits, blocks * BLOCK // 8), np.uint8), np.zeros((bits, blocks), np.uint32), np.zeros(bits, np.uint32)
         now = ids
         for k in range(bits):
-            one = (now >> (bits - 1 - k) & 1).astype(bool)
+            one = now & now.dtype.type(1 << (bits - 1 - k)) != 0
             packed = np.packbits(one)
             planes[k, : len(packed)] = packed
-            ones = np.bitwise_count(planes[k].reshape(blocks, -1)).sum(1, dtype=np.uint32)
+            ones = np.bitwise_count(planes[k].view(np.uint64)).reshape(blocks, -1).sum(1, dtype=np.uint32)
             counts[k] = np.cumsum(ones) - ones
-            low = now[~one]
+            low = now[np.flatnonzero(~one)]  # by places: a mask costs a mispredicted branch a bit
             zeros[k] = len(low)
-            now = np.concatenate([low, now[one]])
+            now = np.concatenate([low, now[np.flatnonzero(one)]])
         return cls(planes, counts, zeros, n, docs, nulls, ends)
 
     def tokens(self) -> np.ndarray:
@@ -64,9 +69,14 @@ class Shard:
         now = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            above = np.empty_like(now)
-            above[~one] = now[: self.zeros[k]]
-            above[one] = now[self.zeros[k] :] | now.dtype.type(1 << (bits - 1 - k))
+            above, i, j = np.empty_like(now), 0, int(self.zeros[k])
+            now[j:] |= now.dtype.type(1 << (bits - 1 - k))
+            for at in range(0, self.n, PLACES):
+                part = one[at : at + PLACES]
+                low, high = np.flatnonzero(~part), np.flatnonzero(part)
+                above[at : at + PLACES][low] = now[i : i + len(low)]
+                above[at : at + PLACES][high] = now[j : j + len(high)]
+                i, j = i + len(low), j + len(high)
             now = above
         return now
 
@@ -146,6 +156,11 @@ _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTES = {b: 256 + k for k, b in enumerate(_UNSEEN)}
 _SPACES = {chr(_BYTES[b]) for b in b" \n"}
+#: The same as UTF-16 units by byte, but for the space between words.
+_SPELT = np.array([b if b == ord(" ") else _BYTES.get(b, b) for b in range(256)], "<u2")
+
+#: Latin-1 words that are one pre-token and in normal form: lower-case letters alone.
+_LETTERS = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
 
 
 def _plain(text: str) -> str:
@@ -169,6 +184,7 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.bits = max(1, (self.size - 1).bit_length())
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -198,29 +214,66 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.parted:
-            code = "H" if self.kind.itemsize == 2 else "I"
-            return [array(code, found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
+            return [array(self.code, found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = pc.split_pattern(pa.array([_plain(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        parts = _parted(coded.dictionary).dictionary_encode()
+        ids, ends = _placed(pa.array(self._known(_listed(parts.dictionary)), pa.large_binary()), parts.indices)
+        ids, ends = _placed(_binary(ends[::2], ids), coded.indices)
+        ends, ids = ends[cut.offsets.to_numpy()].tolist(), memoryview(ids)
+        return [bytes(ids[i:j]) for i, j in zip(ends, ends[1:])]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these words, which are kept."""
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known
-        known, old, merge, code, rest = self.known, self.old, self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I", []
-        new = set().union(*cut).difference(known)
-        for word in new:
-            if (ids := old.get(word)) is not None:
-                known[word] = ids
-            elif word.isalpha() and word.islower() and max(word) <= "ÿ":  # one pre-token, in normal form
-                known[word] = array(code, [t.id for t in merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        known, found, letters, rest = self.known, list(map(self.known.get, words)), [], []
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, map(self.old.get, [words[i] for i in new])):
+            if ids is not None:
+                known[words[i]] = found[i] = ids
             else:
-                rest.append(word)
-        # No token of the vocabulary holds a letter and what isn't one behind it, so a word's end can be encoded by itself.
-        ended = [(w, core, w[len(core) :]) for w in rest if (core := w.rstrip(_MARKS)) and core != w and core[-1].isalpha()]
-        whole = set(rest).difference(e[0] for e in ended).union(*(e[1:] for e in ended)).difference(known)
-        fresh = [w for w in whole if w not in old]
-        known.update((w, old[w]) for w in whole.difference(fresh))
-        for word, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = array(code, found.ids).tobytes()
-        known.update((w, known[core] + known[mark]) for w, core, mark in ended)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+                (letters if _LETTERS(words[i]) else rest).append(i)
+        merge, code = self.library.model.tokenize, self.code
+        for i, spelt in zip(letters, _spelt([words[i] for i in letters])):
+            known[words[i]] = found[i] = array(code, [t.id for t in merge(spelt)]).tobytes()
+        for i, whole in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            known[words[i]] = found[i] = array(code, whole.ids).tobytes()
+        return found
+
+
+def _listed(words: pa.LargeStringArray) -> list[str]:
+    """Words without spaces as a list, much faster than one by one."""
+    spaced = pc.binary_join_element_wise(words, *pa.array(["", " "], words.type))
+    return str(spaced.buffers()[2] or b"", "utf-8").split(" ")[:-1]
+
+
+def _spelt(words: list[str]) -> list[str]:
+    """Words without spaces, byte by byte in ``_SPELT``."""
+    return _SPELT[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split(" ")
+
+
+def _parted(words: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Each word in two: before and from the marks at its end, if those follow a letter; otherwise whole, and nothing.
+
+    No token of the vocabulary holds a letter and what isn't one behind it, so a word's end can be encoded by itself.
+    """
+    core = pc.utf8_rtrim(words, _MARKS)
+    size = pc.binary_length(pc.if_else(pc.match_substring_regex(core, "[A-Za-zªµºÀ-ÖØ-öø-ÿ]$"), core, words)).to_numpy()
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+    both = np.repeat(ends, 2)[:-1]
+    both[1::2] += size
+    return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(both), words.buffers()[2])
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), data])
+
+
+def _placed(ids: pa.LargeBinaryArray, places: pa.Int32Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The values at these places, one after another, and where each begins and the last ends."""
+    taken = ids.take(places)
+    return taken.buffers()[2] or pa.py_buffer(b""), np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
 
 
 @lru_cache(1)

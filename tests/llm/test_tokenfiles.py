@@ -55,3 +55,52 @@ def test_wavelet_matrix(n, top):
         assert [shard.occurrence(token, j) for j in range(min(5, len(places)))] == places[:5].tolist()
     with pytest.raises(IndexError):
         shard.occurrence(1, n)
+
+
+def test_a_step_meets_each_distinct_word_once():
+    class Asked(dict):
+        def __init__(self):
+            self.words = []
+
+        def get(self, word, other=None):
+            self.words.append(word)
+            return super().get(word, other)
+
+        def __getitem__(self, word):
+            self.words.append(word)
+            return super().__getitem__(word)
+
+    class Library:
+        def __init__(self, library):
+            self.library, self.model, self.whole = library, library.model, []
+
+        def encode_batch_fast(self, words, **how):
+            self.whole += words
+            return self.library.encode_batch_fast(words, **how)
+
+    words, library = t.Words(PATH), Tokenizer.from_file(PATH)
+    words.known, words.library = Asked(), Library(words.library)
+    texts = ["écran, word " * 500, "Écran; écran\nother! 12"]
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sorted(words.known.words) == ["", "!", ",", "12", ";", "other", "word", "écran"]
+    assert sorted(words.library.whole) == ["", "!", ",", "12", ";"]
+
+
+def test_random_texts_are_encoded_as_by_the_library():
+    random = np.random.default_rng(9)
+    latin = [chr(c) for c in range(256)]
+    pieces = ["the", "Cat", "'s", "'LL", "écran", "É", "ß", " ", " ", " ", "\n", "...", "!?", "12", "<|endoftext|>", "<|", "|>", *latin]
+    wide = [*pieces, "日本", "ΑΣ", "İ", "é", "̸", "≠", " ", "　", "😀", "ﬁ"]
+    texts = ["".join(random.choice(p, random.integers(0, 40))) for p in (pieces, wide, pieces[:14]) for _ in range(300)]
+    words, library = t.Words(PATH), Tokenizer.from_file(PATH)
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for _ in range(2):  # the second time from the words that are kept
+        assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)] == want
+
+
+@pytest.mark.parametrize(("n", "bits", "kind"), [(1 << 14, 16, np.uint16), (50000, 17, np.uint32)])
+def test_long_shards_are_unfolded_whole(n, bits, kind):
+    none = np.zeros(0, np.int64)
+    ids = np.random.default_rng(n).integers(0, 1 << bits, n).astype(kind)
+    shard = t.Shard.load(t.Shard.build(ids, bits, none, none.astype(bool), none).dump())
+    assert (shard.tokens() == ids).all() and shard.access(n - 1) == ids[-1]
