@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, steps, texts
+from .common import cut, settle, steps, texts
 
 #: Text bytes from which a chunk is closed.
 CHUNK = 4 << 20
@@ -90,6 +90,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(batch.column(n)[i].as_py() for n in names)
+    batch = None
+    settle()
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

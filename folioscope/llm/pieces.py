@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import steps
+from .common import keeps, steps
 
 LONG = 128
 #: Units a worker keeps in each of two generations, so that frequent units outlive the rare.
@@ -289,6 +289,7 @@ class Pieces:
 
 @lru_cache(1)
 def _pieces(path: str) -> Pieces:
+    keeps("pieces", _pieces.cache_clear)
     return Pieces(path)
 
 
@@ -315,7 +316,7 @@ def _run(text: str, keep: list[str], path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of numbers live for one step, and none is in a cycle
         try:
-            yield from map(rows_of, steps(batches, text))
+            yield from map(rows_of, steps(batches, text, operator="pieces"))
         finally:
             gc.enable()
 

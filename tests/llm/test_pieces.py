@@ -1,6 +1,7 @@
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
-from folioscope.llm import pieces as p
+from folioscope.llm import decontaminate, pieces as p, quality
 from hypothesis import given, settings, strategies as st
 
 from . import brute
@@ -90,3 +91,14 @@ def test_texts_that_the_library_reads_otherwise_differ(monkeypatch):
 
     library, pieces.library = pieces.library, Library()
     assert [d for _, _, d in p.coded(PATH, ["the A", "the a"])] == [True, False]
+
+
+def test_a_worker_keeps_units_until_a_task_of_another_operator():
+    batch = pa.record_batch({"doc_id": [1], "text": ["some words, and more words"]})
+    encoded = lambda: list(p._run("text", ["doc_id"], PATH, False)(iter([batch])))
+    first, held = encoded(), p._pieces(PATH)
+    assert encoded() == first and p._pieces(PATH) is held and "words" in held.known
+    for other in (quality._describe("text", ["doc_id"]), lambda batches: decontaminate.steps(batches, "text")):
+        assert len(list(other(iter([batch])))) == 1
+        assert not p._pieces.cache_info().currsize
+        assert encoded() == first and p._pieces.cache_info().currsize
