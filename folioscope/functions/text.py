@@ -63,6 +63,11 @@ def first_match(text: Column, table: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(v)) for p, v in table), F.lit(""))
 
 
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with ``\\b`` where ASCII words end: Java 17 takes accented letters for letters of words there, RE2 and later Javas don't."""
+    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def marker_counts(text: Column, markers: dict[str, str]) -> dict[str, Column]:
     return {language: F.regexp_count(F.lower(text), F.lit(pattern)) for language, pattern in markers.items()}
 
