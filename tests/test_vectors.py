@@ -64,3 +64,16 @@ def test_a_task_holds_tiles(spark, monkeypatch, by, labels):
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert given == 4096 * min(21, n // labels) * labels and most < 200
+
+
+def test_equal_rows_are_as_good_as_the_own(spark):
+    """Tables repeated with shifted keys: the smaller id of equal rows is the best, but each is its own best too."""
+    from types import SimpleNamespace
+
+    from folioscope.plans import search
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 100")
+    off = F.transform("embedding", lambda e: (e * 0.9).cast("float")).alias("embedding")
+    table = rows.unionByName(rows.withColumn("vec_id", F.col("vec_id") + 100)).unionByName(rows.select(F.col("vec_id") + 200, off, "label").toDF("vec_id", "embedding", "label"))
+    assert sorted(x.vec_id for x in search.self_retrieval(SimpleNamespace(embeddings=table)).collect()) == [0, 50, 100, 150]
