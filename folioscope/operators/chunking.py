@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import layout
 
 TARGET, FLOOR, OVERLAP = 512, 0.332, 0
+#: Bytes of lines that are Python objects at once; bounds a worker's memory whatever a batch holds.
+STEP = 1 << 20
 _SCHEMA = "doc_id long, i int, text string, n_tokens int, first int, last int, pages array<int>"
 
 
@@ -55,26 +59,42 @@ def _carry(rows, sizes: list[int], start: int, end: int, overlap: int) -> int:
     return k if k < end else end
 
 
+def steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[int], pa.StructArray]]:
+    """Ids, numbers of lines and lines of some documents at a time, with ``STEP`` bytes of lines at most; a longer document stands alone."""
+    lines, ids = batch.column("rows").flatten(), batch.column("doc_id")
+    ends = np.cumsum(pc.list_value_length(batch.column("rows")).to_numpy())
+    upto = np.append(0, np.cumsum(pc.binary_length(lines.field("line")).to_numpy(), dtype=np.int64))[ends]
+    at = 0
+    while at < len(ends):
+        first, held = (ends[at - 1], upto[at - 1]) if at else (0, 0)
+        to = max(at + 1, int(np.searchsorted(upto, held + STEP, side="right")))
+        yield ids.slice(at, to - at), np.diff(ends[at:to], prepend=first).tolist(), lines.slice(first, ends[to - 1] - first)
+        at = to
+
+
 def passages(rows: DataFrame, target: int = TARGET, overlap: int = OVERLAP, floor: float = FLOOR, boundaries: bool = True) -> DataFrame:
     """doc_id, i, text, n_tokens, first and last seq, pages of each passage of each document.
 
-    ``rows`` are lines with breaks. A document's lines are gathered as one array, which its text already was.
+    ``rows`` are lines with breaks. A document's lines are gathered as one array, which its text already was; a worker
+    unpacks ``STEP`` bytes of them at a time.
     """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "page", "line", "strength")))
     held = rows.groupBy("doc_id").agg(ordered.alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, structs in zip(batch.column("doc_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                items = [(s["seq"], s["page"], s["line"], s["strength"]) for s in structs]
-                for i, (carried, at, end) in enumerate(pack(items, target, overlap, floor, boundaries)):
-                    part = items[carried:end]
-                    out.append((doc, i, "\n".join(p[2] for p in part), sum(tokens(p[2]) for p in part), items[at][0], items[end - 1][0], sorted({p[1] for p in part})))
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-                names = ["doc_id", "i", "text", "n_tokens", "first", "last", "pages"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            for docs, sizes, lines in steps(batch):
+                items, out, start = list(zip(*(lines.field(c).to_pylist() for c in ("seq", "page", "line", "strength")), strict=True)), [], 0
+                for doc, size in zip(docs.to_pylist(), sizes, strict=True):
+                    own = items[start : start + size]
+                    start += size
+                    for i, (carried, at, end) in enumerate(pack(own, target, overlap, floor, boundaries)):
+                        part = own[carried:end]
+                        out.append((doc, i, "\n".join(p[2] for p in part), sum(tokens(p[2]) for p in part), own[at][0], own[end - 1][0], sorted({p[1] for p in part})))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+                    names = ["doc_id", "i", "text", "n_tokens", "first", "last", "pages"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return held.mapInArrow(run, _SCHEMA)
 
