@@ -13,6 +13,11 @@ def in_order():
     return Window.partitionBy("doc_id").orderBy("seq")
 
 
+def own_ids(documents: DataFrame) -> bool:
+    """Whether each row has an id that no other row has. Ids alone are read, when the plan is made."""
+    return documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
 def lines(documents: DataFrame, page_lines: int = 4) -> DataFrame:
     """Each non-empty line with its place and page."""
     each = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).where(F.trim("line") != "")
